@@ -29,6 +29,6 @@ def pack_sentences(text: Column, limit: int) -> Column:
         F.regexp_extract_all(lines, F.lit(_pack_pattern(limit)), F.lit(1)), lambda pack: pack != ""
     )
     chunks = F.transform(
-        packs, lambda pack: F.btrim(F.translate(pack, "\n", " "), F.lit(WHITESPACE))
+        packs, lambda pack: F.btrim(F.replace(pack, F.lit("\n"), F.lit(" ")), F.lit(WHITESPACE))
     )
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(chunks)

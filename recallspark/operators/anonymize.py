@@ -256,9 +256,10 @@ def anonymize(
 
 
 def mapping_rows(df: DataFrame, keys: list[str], mapping: str = "mapping") -> DataFrame:
-    return df.select(*keys, F.posexplode(mapping).alias("seq", "_m")).select(
-        *keys, "seq", "_m.placeholder", "_m.real_value"
-    )
+    # The outer form: an inner explode would filter on the array first, and so
+    # work the whole text twice.
+    rows = df.select(*keys, F.posexplode_outer(mapping).alias("seq", "_m")).filter("seq IS NOT NULL")
+    return rows.select(*keys, "seq", "_m.placeholder", "_m.real_value")
 
 
 def merge_mappings(rows: DataFrame, query: str, order: list[str]) -> DataFrame:

@@ -39,4 +39,4 @@ def chunk_texts(texts: DataFrame, text: str, settings: Settings = DEFAULTS) -> D
         F.posexplode(pack_sentences(F.col(text), settings.max_chunk_chars)).alias(
             "chunk_index", text
         ),
-    )
+    ).withColumn("chunk_index", F.col("chunk_index").cast("long"))

@@ -115,7 +115,9 @@ def apply_decisions(
         )
         .withColumn(
             "dropped",
-            F.when(F.col("approved"), F.size("lines") - F.size("kept")).otherwise(F.lit(0)),
+            F.when(F.col("approved"), F.size("lines") - F.size("kept"))
+            .otherwise(F.lit(0))
+            .cast("long"),
         )
         .drop("_drops")
     )
@@ -137,7 +139,7 @@ def outcome(reviewed: DataFrame, questions: DataFrame, query: str = "query_id")
         query,
         "question",
         "status",
-        F.when(ready, F.size("kept")).otherwise(F.lit(0)).alias("chunks_used"),
+        F.when(ready, F.size("kept")).otherwise(F.lit(0)).cast("long").alias("chunks_used"),
         F.when(ready, prompt(context_of(F.col("kept")), F.col("question"))).alias("prompt"),
         F.when(F.col("status") == "NO_HITS", NOTHING_FOUND)
         .when(F.col("status") == "DENIED", CANCELLED)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,21 +27,30 @@ SECRETS = (
     Secret(r"xox[bpsa]-[a-zA-Z0-9-]+", "xox"),
 )
 
+@dataclass(frozen=True)
+class Injection:
+    pattern: str
+    hint: str  # lower-case word that every match contains, in any spelling of case
+
+
 # Phrases that look like prompt injection, case-insensitive.
 INJECTIONS = (
-    r"ignore\s+(all\s+)?previous\s+instructions",
-    r"ignore\s+(all\s+)?above\s+instructions",
-    r"disregard\s+(all\s+)?previous",
-    r"forget\s+(all\s+)?previous",
-    r"you\s+are\s+now\s+(a|an)\s+",
-    r"new\s+instructions?\s*:",
-    r"system\s*:\s*you\s+are",
-    r"<\s*system\s*>",
-    r"<\s*/?\s*instructions?\s*>",
-    r"\[SYSTEM\]",
-    r"\[INST\]",
+    Injection(r"ignore\s+(all\s+)?previous\s+instructions", "previous"),
+    Injection(r"ignore\s+(all\s+)?above\s+instructions", "above"),
+    Injection(r"disregard\s+(all\s+)?previous", "previous"),
+    Injection(r"forget\s+(all\s+)?previous", "previous"),
+    Injection(r"you\s+are\s+now\s+(a|an)\s+", "now"),
+    Injection(r"new\s+instructions?\s*:", "instruction"),
+    Injection(r"system\s*:\s*you\s+are", "system"),
+    Injection(r"<\s*system\s*>", "system"),
+    Injection(r"<\s*/?\s*instructions?\s*>", "instruction"),
+    Injection(r"\[SYSTEM\]", "[system]"),
+    Injection(r"\[INST\]", "[inst]"),
 )
 
+# Letters that equal an ASCII letter when case is ignored but do not lower to it.
+_FOLDED = "\u017f\u0131\u0130\u212a"
+
 # Replacement and messages.
 REDACTED = "[REDACTED_SECRET]"
 SECRET_WARNING = "Redacted potential secret matching pattern: "
@@ -92,29 +102,52 @@ def redact(
     return out.withColumn("secret_counts", F.array(*counts)).drop("_found", *counts)
 
 
-def injection_flags(text: Column, patterns: tuple[str, ...] = INJECTIONS) -> Column:
-    """The patterns that occur in the text, in list order."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(text.rlike(java_pattern(p, ignore_case=True)), F.lit(p))
-                for p in patterns
-            ]
+def _injection_hints(text: Column, patterns: tuple[Injection, ...]) -> Column:
+    """The hint words in a text; all of them where lower-casing could hide one."""
+    words = sorted({p.hint for p in patterns})
+    lowered = F.lower(text)
+    unsure = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in _FOLDED])
+    present = [F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in words]
+    return F.when(unsure, F.array(*map(F.lit, words))).otherwise(F.array_compact(F.array(*present)))
+
+
+def flag_injections(
+    chunks: DataFrame,
+    text: str = "content",
+    out: str = "flags",
+    patterns: tuple[Injection, ...] = INJECTIONS,
+) -> DataFrame:
+    """Add `out`: the patterns that occur in the text, in list order.
+
+    One pass looks for the words without which no pattern can match; most texts
+    hold none, and a pattern runs only where its word is.
+    """
+    hinted = chunks.withColumn("_hints", _injection_hints(F.col(text), patterns))
+    found = [
+        F.when(
+            F.array_contains("_hints", p.hint)
+            & F.col(text).rlike(java_pattern(p.pattern, ignore_case=True)),
+            F.lit(p.pattern),
         )
+        for p in patterns
+    ]
+    flags = F.when(F.size("_hints") == 0, F.array().cast("array<string>")).otherwise(
+        F.array_compact(F.array(*found))
     )
+    return hinted.withColumn(out, flags).drop("_hints")
 
 
 def sanitize(
     chunks: DataFrame,
     text: str = "content",
     secrets: tuple[Secret, ...] = SECRETS,
-    injections: tuple[str, ...] = INJECTIONS,
+    injections: tuple[Injection, ...] = INJECTIONS,
 ) -> DataFrame:
     """Redact, then flag the redacted text; add `warnings`.
 
     One warning per secret found and one per injection pattern that occurs.
     """
-    clean = redact(chunks, text, secrets)
+    clean = flag_injections(redact(chunks, text, secrets), text, "_flags", injections)
     secret_warnings = F.flatten(
         F.array(
             *[
@@ -123,16 +156,17 @@ def sanitize(
             ]
         )
     )
-    flags = F.transform(
-        injection_flags(F.col(text), injections), lambda p: F.concat(F.lit(INJECTION_WARNING), p)
+    flags = F.transform("_flags", lambda p: F.concat(F.lit(INJECTION_WARNING), p))
+    return clean.withColumn("warnings", F.concat(secret_warnings, flags)).drop(
+        "secret_counts", "_flags"
     )
-    return clean.withColumn("warnings", F.concat(secret_warnings, flags)).drop("secret_counts")
 
 
 def hygiene_report(checked: DataFrame, key: str, findings: str = "findings") -> DataFrame:
     """Rows per key and finding; counted before the shuffle."""
     return (
-        checked.select(key, F.explode(findings).alias("finding"))
+        checked.select(key, F.explode_outer(findings).alias("finding"))
+        .filter("finding IS NOT NULL")
         .groupBy(key, "finding")
         .agg(F.count(F.lit(1)).alias("n"))
     )

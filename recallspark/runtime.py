@@ -33,6 +33,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that fills fewer splits than there are cores, over all cores.
+
+    Such a table is small; a large one is read as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Stage:
     """Tables written between two jobs of one run, removed at its end.
 

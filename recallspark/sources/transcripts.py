@@ -61,6 +61,15 @@ def read_lines(
     return line_columns(spark.read.option("pathGlobFilter", glob).text(paths))
 
 
+def _only(column: Column) -> Column:
+    """The value as the one row of a generator.
+
+    Filters on it are not pushed below a generator, so a costly value is worked
+    out once per line, however often it is used above.
+    """
+    return F.explode(F.array(column))
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Parse every line; add `role`, `content`, `timestamp` and `reject_reason`.
 
@@ -70,90 +79,85 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     # The last of several equal keys counts, as in most JSON readers.
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
-    parsed = lines.withColumn("_line", strip(F.col("value"))).withColumn(
-        "_json", F.expr("CASE WHEN is_valid_utf8(_line) THEN try_parse_json(_line) END")
+    json = F.expr("try_parse_json(CASE WHEN is_valid_utf8(_line) THEN _line END)")
+    fields = (
+        lines.withColumn("_line", strip(F.col("value")))
+        .filter("_line <> ''")
+        .withColumn("_json", _only(json))
+        .withColumns(
+            {
+                "_type": F.expr("try_variant_get(_json, '$.type', 'variant')"),
+                "_message": F.expr("try_variant_get(_json, '$.message', 'variant')"),
+                "_timestamp": F.expr("try_variant_get(_json, '$.timestamp', 'variant')"),
+            }
+        )
+        .withColumns(
+            {
+                "_role": F.expr("try_variant_get(_message, '$.role', 'variant')"),
+                "_content": F.expr("try_variant_get(_message, '$.content', 'variant')"),
+                "_wanted": F.expr("schema_of_variant(_type) = 'STRING'")
+                & F.expr("CAST(_type AS STRING)").isin(*MESSAGE_TYPES),
+            }
+        )
     )
-    fields = parsed.select(
-        *lines.columns,
-        "_line",
-        F.expr("schema_of_variant(_json)").alias("_kind"),
-        F.expr("try_variant_get(_json, '$.type', 'variant')").alias("_type"),
-        F.expr("try_variant_get(_json, '$.message', 'variant')").alias("_message"),
-        F.expr("try_variant_get(_json, '$.timestamp', 'variant')").alias("_timestamp"),
-    ).withColumns(
-        {
-            "_wanted": F.expr("schema_of_variant(_type) = 'STRING'")
-            & F.expr("CAST(_type AS STRING)").isin(*MESSAGE_TYPES),
-            "_message_kind": F.expr("schema_of_variant(_message)"),
-            "_role": F.expr("try_variant_get(_message, '$.role', 'variant')"),
-            "_content": F.expr("try_variant_get(_message, '$.content', 'variant')"),
-        }
+    # Text of the blocks that hold some; NULL stands for a text block without text.
+    parts = F.expr(
+        """transform(
+             filter(try_cast(_content AS ARRAY<VARIANT>), b -> schema_of_variant(b) = 'STRING'
+               OR schema_of_variant(try_variant_get(b, '$.type', 'variant')) = 'STRING'
+                  AND variant_get(b, '$.type', 'string') = 'text'),
+             b -> CASE WHEN schema_of_variant(b) = 'STRING' THEN CAST(b AS STRING)
+                  WHEN try_variant_get(b, '$.text', 'variant') IS NULL THEN ''
+                  WHEN schema_of_variant(try_variant_get(b, '$.text', 'variant')) = 'STRING'
+                    THEN variant_get(b, '$.text', 'string') END)"""
     )
-    blocks = "try_cast(_content AS ARRAY<VARIANT>)"
-    content = fields.withColumn("_content_kind", F.expr("schema_of_variant(_content)")).withColumn(
-        "_parts",
-        F.expr(
-            f"""CASE WHEN _content_kind LIKE 'ARRAY%' THEN transform(
-                  filter({blocks}, b -> schema_of_variant(b) = 'STRING'
-                    OR (schema_of_variant(b) LIKE 'OBJECT%'
-                        AND schema_of_variant(variant_get(b, '$.type')) = 'STRING'
-                        AND variant_get(b, '$.type', 'string') = 'text')),
-                  b -> CASE WHEN schema_of_variant(b) = 'STRING' THEN CAST(b AS STRING)
-                       WHEN try_variant_get(b, '$.text', 'variant') IS NULL THEN ''
-                       WHEN schema_of_variant(variant_get(b, '$.text')) = 'STRING'
-                         THEN variant_get(b, '$.text', 'string') END) END"""
-        ),
+    # The shape of the line decides how far it is read.
+    shape = F.expr(
+        """CASE WHEN _json IS NULL THEN 'malformed line'
+                WHEN schema_of_variant(_json) NOT LIKE 'OBJECT%' THEN 'line is not an object'
+                WHEN NOT coalesce(_wanted, false) OR _message IS NULL
+                  OR to_json(_message) IN ('null', '{}', '""', '[]', '0', 'false') THEN 'no message'
+                WHEN schema_of_variant(_message) NOT LIKE 'OBJECT%' THEN 'message is not an object'
+                WHEN schema_of_variant(_content) = 'STRING' THEN 'text'
+                WHEN schema_of_variant(_content) LIKE 'ARRAY%' THEN 'blocks'
+                ELSE 'no message' END"""
     )
-    text = F.expr(
-        """CASE WHEN _content_kind = 'STRING' THEN CAST(_content AS STRING)
-                WHEN _parts IS NOT NULL AND NOT exists(_parts, p -> p IS NULL)
-                  THEN array_join(_parts, '\n') END"""
+    read = (
+        fields.withColumn("_shape", _only(shape))
+        .withColumn("_parts", _only(F.when(F.col("_shape") == "blocks", parts)))
+        .withColumn(
+            "content",
+            _only(
+                strip(
+                    F.when(F.col("_shape") == "text", F.expr("CAST(_content AS STRING)"))
+                    .when(F.exists("_parts", lambda p: p.isNull()), None)
+                    .otherwise(F.array_join("_parts", "\n"))
+                )
+            ),
+        )
     )
+    reason = F.when(
+        F.col("_shape").isin("malformed line", "line is not an object", "message is not an object"),
+        F.col("_shape"),
+    ).when(F.exists("_parts", lambda p: p.isNull()), "text block without text")
     role = F.expr("CASE WHEN schema_of_variant(_role) = 'STRING' THEN CAST(_role AS STRING) END")
     timestamp = F.expr(
         """CASE WHEN _timestamp IS NULL THEN ''
                 WHEN schema_of_variant(_timestamp) = 'STRING' THEN CAST(_timestamp AS STRING)
                 WHEN NOT is_variant_null(_timestamp) THEN to_json(_timestamp) END"""
     )
-    # An absent, null or empty message is skipped, any other non-object is an error.
-    no_message = F.coalesce(F.col("_message_kind"), F.lit("VOID")).isin("VOID", "OBJECT<>") | F.expr(
-        "coalesce(to_json(_message) IN ('\"\"', '[]', '0', 'false'), false)"
-    )
-    is_object = F.col("_message_kind").startswith("OBJECT")
-    reason = (
-        F.when(F.col("_line") == "", None)
-        .when(F.col("_kind").isNull(), F.lit("malformed line"))
-        .when(~F.col("_kind").startswith("OBJECT"), F.lit("line is not an object"))
-        .when(~F.coalesce("_wanted", F.lit(False)) | no_message, None)
-        .when(~is_object, F.lit("message is not an object"))
-        .when(F.expr("exists(_parts, p -> p IS NULL)"), F.lit("text block without text"))
-    )
-    kept = (
-        content.withColumn("reject_reason", reason)
-        .withColumn("role", role)
-        .withColumn("content", strip(text))
-        .withColumn("timestamp", timestamp)
-        .withColumn(
-            "_is_message",
-            F.coalesce(
-                F.col("reject_reason").isNull()
-                & F.col("_wanted")
-                & is_object
-                & (F.col("role") != "")
-                & (F.col("content") != ""),
-                F.lit(False),
-            ),
-        )
-    )
-    return kept.select(
+    return read.select(
         *lines.columns,
-        *[F.when(F.col("_is_message"), F.col(c)).alias(c) for c in ("role", "content", "timestamp")],
-        "reject_reason",
+        role.alias("role"),
+        "content",
+        timestamp.alias("timestamp"),
+        reason.alias("reject_reason"),
     )
 
 
 def messages_of(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("content IS NOT NULL").drop("value", "reject_reason")
+    """Lines with a role and with text. Other columns of the lines are kept."""
+    return parsed.filter("role <> '' AND content <> ''").drop("value", "reject_reason")
 
 
 def rejects_of(parsed: DataFrame) -> DataFrame:
