@@ -52,8 +52,7 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
 
 def printable_share(text: Column) -> Column:
     """Share of characters that are printable or whitespace; NULL for empty text."""
-    size = F.length(text)
-    return F.try_divide(size - F.regexp_count(text, F.lit(NON_PRINTABLE)), size)
+    return F.try_divide(F.length(F.regexp_replace(text, f"{NON_PRINTABLE}+", "")), F.length(text))
 
 
 def replace_each(

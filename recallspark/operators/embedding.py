@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import arrow_udf
 
@@ -36,7 +36,7 @@ class HashEmbedder:
         self.dims = dims
 
     def load(self) -> Encode:
-        tokens = regex.compile(r"[\p{L}\p{N}_]+")
+        tokens = re.compile(r"\w+")
         places: dict[str, int] = {}
 
         def place(token: str) -> int:

@@ -88,7 +88,7 @@ def number_in_file_order(
     before = (
         Window.partitionBy(group).orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     )
-    shifts = stage.write(
+    shifts, splits = stage.write_counted(
         totals.select(
             group,
             "block_start",
@@ -96,7 +96,7 @@ def number_in_file_order(
         ),
         f"{name}_splits",
     )
-    if shifts.count() <= _BROADCAST_ROWS:
+    if splits <= _BROADCAST_ROWS:
         shifts = F.broadcast(shifts)
     return (
         frozen.join(shifts, [group, "block_start"])

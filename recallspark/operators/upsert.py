@@ -23,10 +23,11 @@ def new_rows(
     return firsts.join(stored.select(*keys), keys, "left_anti")
 
 
-def without_stored(batch: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """Anti-join against staged keys: skipped, broadcast or shuffled by their number."""
-    n = known.count()
-    if n == 0:
+def without_stored(batch: DataFrame, known: DataFrame, n_known: int, keys: list[str]) -> DataFrame:
+    """Anti-join against counted keys: skipped, broadcast or shuffled by their number."""
+    if n_known == 0:
         return batch
     known = known.select(*keys)
-    return batch.join(F.broadcast(known) if n <= _BROADCAST_KEYS else known, keys, "left_anti")
+    return batch.join(
+        F.broadcast(known) if n_known <= _BROADCAST_KEYS else known, keys, "left_anti"
+    )

@@ -37,7 +37,7 @@ from recallspark.operators.search import (
 from recallspark.operators.upsert import new_rows
 from recallspark.plans.ingest import Store, ingest_all, new_files, prepare_chunks
 from recallspark.plans.retrieval import anonymize_hits, decide, find_hits, prepare
-from recallspark.runtime import Stage, spread
+from recallspark.runtime import Stage, is_narrow
 from recallspark.schemas import DICTIONARY
 from recallspark.settings import Settings
 from recallspark.sources.transcripts import messages_of, parse_lines, rejects_of
@@ -65,8 +65,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_narrow: dict[str, bool] = {}
+
+
 def texts_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(table(spark, folder, name))
+    """A table of texts; one of few splits, hence small, is spread over all cores.
+
+    A large table is read as it lies, without a shuffle.
+    """
+    texts, path = table(spark, folder, name), f"{folder}/{name}"
+    if path not in _narrow:
+        _narrow[path] = is_narrow(texts)
+    return texts.repartition(spark.sparkContext.defaultParallelism) if _narrow[path] else texts
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,9 +216,11 @@ def reject_report(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def embed_hash(spark: SparkSession, folder: str) -> DataFrame:
     vectors = embed(conversations(spark, folder).select("conv_id", "turn", "text"), "text")
-    return vectors.select("conv_id", "turn", F.posexplode("embedding").alias("place", "w")).filter(
-        "w <> 0"
-    ).select("conv_id", "turn", F.col("place").cast("long").alias("place"), F.round(F.col("w").cast("double"), 6).alias("weight"))
+    places = F.transform("embedding", lambda w, i: F.struct(i.cast("long").alias("place"), w.alias("w")))
+    used = vectors.select("conv_id", "turn", F.explode_outer(F.filter(places, lambda p: p["w"] != 0)).alias("p"))
+    return used.filter("p IS NOT NULL").select(
+        "conv_id", "turn", "p.place", F.round(F.col("p.w").cast("double"), 6).alias("weight")
+    )
 
 
 @query
@@ -277,7 +289,7 @@ def search_documents(spark: SparkSession, folder: str) -> DataFrame:
     questions = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
-    hits = find_hits(questions, document_chunks(spark, folder), stage=Stage(spark))
+    hits = find_hits(questions, document_chunks(spark, folder), Stage(spark))
     return hits.select(
         "query_id", "rank", F.col("conversation_id").alias("doc_id"), "chunk_index",
         F.round("similarity", 6).alias("similarity"), "content",

@@ -100,25 +100,34 @@ def ingest_wave(
             prepare_chunks(parsed, settings), stage, "chunks", "chunk_index"
         )
         result.lines_rejected = seen.get["rejected"]
-        store.append(numbered.filter("reject_reason IS NOT NULL"), "chunk_rejects")
-
-        valid = numbered.filter("reject_reason IS NULL")
-        counts = stage.write(
-            valid.groupBy("file_path", "conversation_id", "file_size")
-            .agg(F.count(F.lit(1)).alias("chunks_created"))
-            .withColumn("ingested_at", F.current_timestamp()),
-            "counts",
+
+        is_valid = F.col("reject_reason").isNull()
+        files = stage.write(
+            numbered.groupBy("file_path", "conversation_id", "file_size").agg(
+                F.count_if(is_valid).alias("chunks_created"),
+                F.count_if(~is_valid).alias("chunks_rejected"),
+            ),
+            "files",
         )
-        stems = counts.select("conversation_id").distinct()
-        if stems.count() < counts.count():
+        totals = files.agg(
+            F.count(F.lit(1)).alias("files"),
+            F.countDistinct("conversation_id").alias("stems"),
+            F.coalesce(F.sum("chunks_created"), F.lit(0)).alias("created"),
+            F.coalesce(F.sum("chunks_rejected"), F.lit(0)).alias("rejected"),
+        ).first()
+        result.total_chunks = totals["created"]
+        if totals["rejected"]:
+            store.append(numbered.filter(~is_valid), "chunk_rejects")
+
+        valid = numbered.filter(is_valid)
+        if totals["stems"] < totals["files"]:
             valid = first_of_each(valid, KEYS, [F.col("modified_at"), F.col("file_path")])
-        known = stage.write(
-            store.read("chunks")
-            .select(*KEYS)
-            .join(F.broadcast(stems), "conversation_id", "left_semi"),
+        stems = files.select("conversation_id").distinct()
+        known, n_known = stage.write_counted(
+            store.read("chunks").select(*KEYS).join(F.broadcast(stems), "conversation_id", "left_semi"),
             "known",
         )
-        fresh = embed(without_stored(valid, known, KEYS), "content", embedder)
+        fresh = embed(without_stored(valid, known, n_known, KEYS), "content", embedder)
         written = Observation()
         store.append(
             fresh.observe(written, F.count(F.lit(1)).alias("rows"))
@@ -128,8 +137,8 @@ def ingest_wave(
         )
         result.chunks_inserted = written.get["rows"]
 
-        store.append(new_files(counts, store.read("ingestion_log")), "ingestion_log")
-        result.total_chunks = counts.agg(F.coalesce(F.sum("chunks_created"), F.lit(0))).first()[0]
+        logged = new_files(files.filter("chunks_created > 0"), store.read("ingestion_log"))
+        store.append(logged.withColumn("ingested_at", F.current_timestamp()), "ingestion_log")
     return result
 
 
@@ -158,9 +167,9 @@ def ingest_all(
     store = Store(spark, root).create()
     total = IngestResult()
     with Stage(spark) as stage:
-        listing = stage.write(list_transcripts(spark, directory, glob), "listing")
-        todo = stage.write(new_files(listing, store.read("ingestion_log")), "todo")
-        total.skipped = listing.count() - todo.count()
+        listing, n_files = stage.write_counted(list_transcripts(spark, directory, glob), "listing")
+        todo, n_new = stage.write_counted(new_files(listing, store.read("ingestion_log")), "todo")
+        total.skipped = n_files - n_new
         for paths in waves(todo, settings.files_per_wave):
             lines = read_lines(spark, [literal_path(p) for p in paths], glob)
             done = ingest_wave(lines, store, embedder, settings)

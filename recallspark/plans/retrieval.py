@@ -32,13 +32,13 @@ class Prepared:
 def find_hits(
     questions: DataFrame,
     chunks: DataFrame,
+    stage: Stage,
     embedder: Embedder | None = None,
     settings: Settings = DEFAULTS,
-    stage: Stage | None = None,
 ) -> DataFrame:
     """The best chunks per question, with their text."""
     asked = embed(questions.select("query_id", "question"), "question", embedder)
-    return fetch_hits(nearest(chunks, asked, KEY, settings, stage=stage), chunks, KEY)
+    return fetch_hits(nearest(chunks, asked, KEY, settings, stage=stage), chunks, KEY, stage)
 
 
 def anonymize_hits(
@@ -67,7 +67,7 @@ def prepare(
     settings: Settings = DEFAULTS,
 ) -> Prepared:
     """Search, anonymise and lay out for review. Hits are written to the stage once."""
-    found = find_hits(questions, chunks, embedder, settings, stage)
+    found = find_hits(questions, chunks, stage, embedder, settings)
     hits = stage.write(
         anonymize_hits(found, dictionary, allowlist, recogniser, settings), "anonymised_hits"
     )

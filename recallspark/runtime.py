@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,13 +33,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that fills fewer splits than there are cores, over all cores.
-
-    Such a table is small; a large one is read as it lies, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def is_narrow(df: DataFrame) -> bool:
+    """Whether a table fills fewer splits than there are cores."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
 class Stage:
@@ -59,6 +55,12 @@ class Stage:
         df.write.mode("append").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Write and learn the number of rows in the same job."""
+        seen = Observation()
+        written = self.write(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        return written, seen.get["rows"]
+
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -10,6 +10,14 @@ def _struct(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(*field) for field in fields])
 
 
+# Fixed value: the columns of Spark's binaryFile source.
+BINARY_FILES = _struct(
+    ("path", T.StringType(), True),
+    ("modificationTime", T.TimestampType(), True),
+    ("length", T.LongType(), True),
+    ("content", T.BinaryType(), True),
+)
+
 MESSAGES = _struct(
     ("conversation_id", T.StringType(), False),
     ("msg_index", T.LongType(), False),

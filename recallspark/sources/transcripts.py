@@ -23,7 +23,7 @@ def _decoded(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def _file_columns() -> list[Column]:
+def file_columns() -> list[Column]:
     path = _decoded(F.col("_metadata.file_path"))
     return [
         path.alias("file_path"),
@@ -40,7 +40,7 @@ def list_transcripts(spark: SparkSession, directory: str, glob: str = TRANSCRIPT
     Only metadata is selected, so no file is opened.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-    return files.select(*_file_columns())
+    return files.select(*file_columns())
 
 
 def literal_path(path: str) -> str:
@@ -51,7 +51,7 @@ def literal_path(path: str) -> str:
 def line_columns(text: DataFrame) -> DataFrame:
     """File columns and the split a line was read from, beside the line itself."""
     return text.select(
-        *_file_columns(), F.col("_metadata.file_block_start").alias("block_start"), "value"
+        *file_columns(), F.col("_metadata.file_block_start").alias("block_start"), "value"
     )
 
 
@@ -101,12 +101,15 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         )
     )
     # Text of the blocks that hold some; NULL stands for a text block without text.
+    # Kinds are asked of small values only: a schema is worked out from the whole value.
     parts = F.expr(
         """transform(
-             filter(try_cast(_content AS ARRAY<VARIANT>), b -> schema_of_variant(b) = 'STRING'
-               OR schema_of_variant(try_variant_get(b, '$.type', 'variant')) = 'STRING'
-                  AND variant_get(b, '$.type', 'string') = 'text'),
-             b -> CASE WHEN schema_of_variant(b) = 'STRING' THEN CAST(b AS STRING)
+             filter(try_cast(_content AS ARRAY<VARIANT>),
+               b -> CASE WHEN try_variant_get(b, '$.type', 'variant') IS NOT NULL
+                    THEN schema_of_variant(try_variant_get(b, '$.type', 'variant')) = 'STRING'
+                         AND variant_get(b, '$.type', 'string') = 'text'
+                    ELSE schema_of_variant(b) = 'STRING' END),
+             b -> CASE WHEN try_variant_get(b, '$.type', 'variant') IS NULL THEN CAST(b AS STRING)
                   WHEN try_variant_get(b, '$.text', 'variant') IS NULL THEN ''
                   WHEN schema_of_variant(try_variant_get(b, '$.text', 'variant')) = 'STRING'
                     THEN variant_get(b, '$.text', 'string') END)"""
@@ -114,13 +117,14 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     # The shape of the line decides how far it is read.
     shape = F.expr(
         """CASE WHEN _json IS NULL THEN 'malformed line'
-                WHEN schema_of_variant(_json) NOT LIKE 'OBJECT%' THEN 'line is not an object'
-                WHEN NOT coalesce(_wanted, false) OR _message IS NULL
-                  OR to_json(_message) IN ('null', '{}', '""', '[]', '0', 'false') THEN 'no message'
-                WHEN schema_of_variant(_message) NOT LIKE 'OBJECT%' THEN 'message is not an object'
+                WHEN NOT startswith(_line, '{') THEN 'line is not an object'
+                WHEN NOT coalesce(_wanted, false) OR _message IS NULL THEN 'no message'
+                WHEN try_variant_get(_content, '$[0]', 'variant') IS NOT NULL THEN 'blocks'
                 WHEN schema_of_variant(_content) = 'STRING' THEN 'text'
-                WHEN schema_of_variant(_content) LIKE 'ARRAY%' THEN 'blocks'
-                ELSE 'no message' END"""
+                WHEN _content IS NOT NULL OR _role IS NOT NULL THEN 'no message'
+                WHEN to_json(_message) IN ('null', '""', '[]', '0', 'false')
+                  OR to_json(_message) LIKE '{%' THEN 'no message'
+                ELSE 'message is not an object' END"""
     )
     read = (
         fields.withColumn("_shape", _only(shape))
