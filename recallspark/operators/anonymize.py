@@ -7,10 +7,13 @@ back, placeholder -> real value, stays on the row as an ordered array.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from recallspark.functions.pytext import NON_SPACE, java_pattern, replace_each, strip
 from recallspark.runtime import array_slices
@@ -68,6 +71,32 @@ class Gazetteer:
         return df.withColumn(out, entities.cast(RECOGNISED)).drop("_hits", "_names")
 
 
+class ModelRecogniser:
+    """Recogniser around a Python model.
+
+    `load` runs once per worker and returns texts -> one list of (text, label,
+    score) per text. Only the text column travels to the worker.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], list[list[tuple]]]]) -> None:
+        self._load = load
+
+    def __call__(self, texts: DataFrame, text: str, out: str) -> DataFrame:
+        load, fields = self._load, RECOGNISED.elementType.names
+
+        @arrow_udf(RECOGNISED)
+        def entities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            find = load()
+            kind = pa.list_(
+                pa.struct(list(zip(fields, (pa.string(), pa.string(), pa.float64()))))
+            )
+            for batch in batches:
+                found = find([t or "" for t in batch.to_pylist()])
+                yield pa.array([[dict(zip(fields, e)) for e in row] for row in found], kind)
+
+        return texts.withColumn(out, entities(text))
+
+
 def keep_entities(
     df: DataFrame,
     entities: str = "entities",

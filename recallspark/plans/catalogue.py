@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from recallspark.functions.pytext import printable_share
 from recallspark.operators import anonymize as anon
 from recallspark.operators import context
-from recallspark.operators.audit import audit_records, audit_summary
+from recallspark.operators.audit import append_audit, audit_records, audit_summary, read_audit
 from recallspark.operators.chunking import chunk_messages, chunk_texts
 from recallspark.operators.embedding import embed
 from recallspark.operators.hygiene import (
@@ -443,6 +443,14 @@ def audit_log(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_audit(spark, folder)
 
 
+@query
+def audit_log_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The log written as JSON lines and read back."""
+    path = f"{Stage(spark).root}/audit"
+    append_audit(conversation_audit(spark, folder), path)
+    return read_audit(spark, path).drop("at")
+
+
 @query
 def audit_totals(spark: SparkSession, folder: str) -> DataFrame:
     place = F.substring("timestamp", 2, 20).cast("long")
@@ -479,9 +487,22 @@ def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.groupBy("file_path").agg(F.count(F.lit(1)).alias("chunks_created"))
 
 
+@query
+def ingest_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run over the files that the log does not name would report."""
+    found, todo = listing(spark, folder), incremental_files(spark, folder)
+    skipped = found.agg(F.count(F.lit(1)).alias("n")).select("n")
+    return todo.join(ingest_summary(spark, folder), "file_path", "left").agg(
+        F.count(F.lit(1)).alias("files_processed"),
+        F.coalesce(F.sum("chunks_created"), F.lit(0)).alias("total_chunks"),
+    ).withColumn("skipped", skipped.scalar() - F.col("files_processed"))
+
+
 def _written_transcripts(spark: SparkSession, folder: str, stage: Stage) -> str:
     """Conversations as JSONL files, several conversations to a file."""
-    lines = as_lines(spark, folder).repartition("file_path").sortWithinPartitions("conv_id", "turn")
+    # By range of both columns: a very long conversation fills several files.
+    lines = as_lines(spark, folder).repartitionByRange("conv_id", "turn")
+    lines = lines.sortWithinPartitions("conv_id", "turn")
     path = f"{stage.root}/transcripts"
     lines.select("value").write.text(path)
     return path

@@ -318,6 +318,7 @@ ORACLES: dict[str, str] = {
       FROM {REVIEWED}""",
     "prompt_assembly": f"SELECT * FROM {OUTCOMES}",
     "audit_log": f"SELECT timestamp, action, question_length, chunks_sent FROM {AUDIT}",
+    "audit_log_file": f"SELECT timestamp, action, question_length, chunks_sent FROM {AUDIT}",
     "audit_totals": f"""SELECT count(*) AS total, count(*) FILTER (WHERE action = 'QUERY_APPROVED') AS approved,
         count(*) FILTER (WHERE action = 'QUERY_DENIED') AS denied,
         coalesce(sum(chunks_sent) FILTER (WHERE action = 'QUERY_APPROVED'), 0)::BIGINT AS chunks_sent,
@@ -332,6 +333,11 @@ ORACLES: dict[str, str] = {
       QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY batch) = 1""",
     "ingest_summary": f"""SELECT split_part(timestamp, ':', 1) AS file_path, count(*) AS chunks_created FROM ({INGESTED})
       GROUP BY ALL""",
+    "ingest_totals": f"""WITH todo AS (SELECT DISTINCT conv_id FROM conversations
+        WHERE conv_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en'))
+      SELECT (SELECT count(*) FROM todo) AS files_processed,
+        (SELECT count(*) FROM ({INGESTED}) WHERE split_part(timestamp, ':', 1)::BIGINT IN (SELECT conv_id FROM todo)) AS total_chunks,
+        (SELECT count(DISTINCT conv_id) FROM conversations) - (SELECT count(*) FROM todo) AS skipped""",
     "ingest_batch": INGESTED,
     "stream_ingest": INGESTED,
     "protect_mapping": "SELECT n_name AS real_value, '[N' || n_nationkey || ']' AS placeholder FROM nation",
