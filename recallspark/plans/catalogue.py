@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recallspark.functions.pytext import printable_share
 from recallspark.operators import anonymize as anon
@@ -61,11 +62,16 @@ def query(function: Query) -> Query:
     return function
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+_schemas: dict[str, StructType] = {}
+_narrow: dict[str, bool] = {}
 
 
-_narrow: dict[str, bool] = {}
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table; its schema is read from the files only once."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def texts_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
