@@ -39,7 +39,7 @@ def number_items(
     `order` is a non-negative integer, unique in its group and about dense. The
     rows are shuffled once, by group and block.
     """
-    block = F.floor(F.col(order) / F.lit(rows_per_block)).cast("long")
+    block = F.expr(f"`{order}` div {int(rows_per_block)}")
     blocked = df.withColumn("_block", block).withColumn("_n", F.size(items))
     within = (
         Window.partitionBy(group, "_block")

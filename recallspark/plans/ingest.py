@@ -41,6 +41,12 @@ class IngestResult:
     skipped: int = 0
     chunks_inserted: int = 0
     lines_rejected: int = 0
+    chunks_rejected: int = 0
+    chunks_warned: int = 0
+
+    def add(self, other: IngestResult) -> None:
+        for name, value in asdict(other).items():
+            setattr(self, name, getattr(self, name) + value)
 
     def as_row(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([tuple(asdict(self).values())], list(asdict(self)))
@@ -106,6 +112,7 @@ def ingest_wave(
             numbered.groupBy("file_path", "conversation_id", "file_size").agg(
                 F.count_if(is_valid).alias("chunks_created"),
                 F.count_if(~is_valid).alias("chunks_rejected"),
+                F.count_if(is_valid & (F.size("warnings") > 0)).alias("chunks_warned"),
             ),
             "files",
         )
@@ -114,17 +121,23 @@ def ingest_wave(
             F.countDistinct("conversation_id").alias("stems"),
             F.coalesce(F.sum("chunks_created"), F.lit(0)).alias("created"),
             F.coalesce(F.sum("chunks_rejected"), F.lit(0)).alias("rejected"),
+            F.coalesce(F.sum("chunks_warned"), F.lit(0)).alias("warned"),
         ).first()
         result.total_chunks = totals["created"]
+        result.chunks_rejected, result.chunks_warned = totals["rejected"], totals["warned"]
         if totals["rejected"]:
             store.append(numbered.filter(~is_valid), "chunk_rejects")
 
         valid = numbered.filter(is_valid)
+        if totals["warned"]:
+            store.append(valid.withColumn("warning", F.explode("warnings")), "chunk_warnings")
         if totals["stems"] < totals["files"]:
             valid = first_of_each(valid, KEYS, [F.col("modified_at"), F.col("file_path")])
         stems = files.select("conversation_id").distinct()
+        if totals["stems"] <= settings.files_per_wave:
+            stems = F.broadcast(stems)
         known, n_known = stage.write_counted(
-            store.read("chunks").select(*KEYS).join(F.broadcast(stems), "conversation_id", "left_semi"),
+            store.read("chunks").select(*KEYS).join(stems, "conversation_id", "left_semi"),
             "known",
         )
         fresh = embed(without_stored(valid, known, n_known, KEYS), "content", embedder)
@@ -173,8 +186,6 @@ def ingest_all(
         for paths in waves(todo, settings.files_per_wave):
             lines = read_lines(spark, [literal_path(p) for p in paths], glob)
             done = ingest_wave(lines, store, embedder, settings)
-            total.files_processed += len(paths)
-            total.total_chunks += done.total_chunks
-            total.chunks_inserted += done.chunks_inserted
-            total.lines_rejected += done.lines_rejected
+            done.files_processed = len(paths)
+            total.add(done)
     return total

@@ -65,6 +65,13 @@ CHUNK_REJECTS = _struct(
     ("reject_reason", T.StringType(), False),
 )
 
+CHUNK_WARNINGS = _struct(
+    ("file_path", T.StringType(), False),
+    ("conversation_id", T.StringType(), False),
+    ("chunk_index", T.LongType(), False),
+    ("warning", T.StringType(), False),
+)
+
 AUDIT = _struct(
     ("timestamp", T.StringType(), True),
     ("action", T.StringType(), True),
@@ -90,6 +97,7 @@ TABLES = {
     "chunks": CHUNKS,
     "ingestion_log": INGESTION_LOG,
     "chunk_rejects": CHUNK_REJECTS,
+    "chunk_warnings": CHUNK_WARNINGS,
     "anonymizer_entities": ENTITIES,
 }
 

@@ -73,7 +73,7 @@ def folder(tmp_path):
     (path / "sub" / "hidden.jsonl").write_text(line("not read"))
     (path / "notes.txt").write_text(line("not read"))
     (path / "a b+c%41[x].jsonl").write_bytes(
-        b"\r\n".join([line("first", timestamp="1").encode(), b'{"type":"user\xff"}', line("second. " * 300).encode()])
+        b"\r\n".join([line("first AK" + "IA" + "B" * 16, timestamp="1").encode(), b'{"type":"user\xff"}', line("second. " * 300).encode()])
     )
     (path / "long.v2.jsonl").write_text("\n".join(line(f"message {i}") for i in range(5000)))
     (path / "bad.jsonl").write_text(line("\x00" * 50) + "\n" + line("y" * 10001) + "\n")
@@ -113,8 +113,11 @@ def test_ingest_twice(spark, folder, tmp_path, wave):
     first = ingest_all(spark, str(folder), root, settings=settings)
     chunks = stored(spark, root)
     assert (first.files_processed, first.skipped, first.lines_rejected) == (4, 0, 2)
+    assert (first.chunks_rejected, first.chunks_warned) == (2, 1)
+    warning = Store(spark, root).read("chunk_warnings").first()
+    assert (warning.conversation_id, warning.chunk_index) == ("a b+c%41[x]", 0) and "AKIA" in warning.warning
     assert first.total_chunks == first.chunks_inserted == len(chunks) == 5000 + 1 + 3
-    assert chunks[("a b+c%41[x]", 0)] == "first"
+    assert chunks[("a b+c%41[x]", 0)] == "first [REDACTED_SECRET]"
     assert [chunks[("long.v2", i)] for i in (0, 77, 4999)] == ["message 0", "message 77", "message 4999"]
     assert all(len(c) <= 1000 for c in chunks.values())
     rejects = Store(spark, root).read("chunk_rejects").orderBy("chunk_index").collect()
