@@ -50,7 +50,9 @@ class Gazetteer:
 
     def __init__(self, names: DataFrame, settings: Settings = DEFAULTS) -> None:
         item = F.struct("text", "label")
-        self._slices = array_slices(names, [F.col("text")], item, settings.dictionary_slice)
+        self._slices = array_slices(
+            names, [F.col("text"), F.col("label")], item, settings.dictionary_slice
+        )
 
     def __call__(self, texts: DataFrame, text: str, out: str) -> DataFrame:
         df = texts.withColumn("_hits", F.array().cast("array<struct<at:int,text:string,label:string>>"))

@@ -128,7 +128,8 @@ def outcome(reviewed: DataFrame, questions: DataFrame, query: str = "query_id")
 
     NO_HITS: nothing was found; DENIED: cancelled in review; READY: prompt made.
     """
-    joined = questions.select(query, "question").join(reviewed.drop("question"), query, "left")
+    kept = reviewed.select(query, "lines", "approved", "kept")
+    joined = questions.select(query, "question").join(kept, query, "left")
     status = (
         F.when(F.col("lines").isNull(), "NO_HITS")
         .when(~F.col("approved"), "DENIED")

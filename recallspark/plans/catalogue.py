@@ -418,9 +418,8 @@ def review_sheet(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return context.apply_decisions(
-        conversation_sheets(spark, folder), conversation_decisions(spark, folder)
-    )
+    lines = context.gather(context.context_lines(conversation_hits(spark, folder)))
+    return context.apply_decisions(lines, conversation_decisions(spark, folder))
 
 
 @query

@@ -76,7 +76,8 @@ class Stage:
 def array_slices(df: DataFrame, order: list[Column], value: Column, rows_per_slice: int) -> list[Column]:
     """A small configured table as arrays, each a scalar subquery of bounded length.
 
-    Usually one slice. A longer table gives several, to be applied one after
+    Rows that are equal in `order` must be equal altogether. Usually there is one
+    slice. A longer table gives several, to be applied one after
     the other in `order`, so that no single array outgrows its bound.
     """
     n = df.count()

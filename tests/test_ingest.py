@@ -139,7 +139,13 @@ def test_ingest_twice(spark, folder, tmp_path, wave):
     assert vectors.filter("n <> 384 OR id IS NULL OR created_at IS NULL").count() == 0
 
 
-def test_equal_stems_keep_the_first(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_equal_stems_keep_the_first(spark, tmp_path, monkeypatch, broadcast):
+    from recallspark.operators import ordering, upsert
+
+    if not broadcast:
+        monkeypatch.setattr(ordering, "_BROADCAST_ROWS", -1)
+        monkeypatch.setattr(upsert, "_BROADCAST_KEYS", -1)
     root = str(tmp_path / "store")
     for name, texts in (("one", ["a0", "a1"]), ("two", ["b0", "b1", "b2"])):
         (tmp_path / name).mkdir()
