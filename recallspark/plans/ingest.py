@@ -19,7 +19,7 @@ from recallspark.operators.embedding import Embedder, embed
 from recallspark.operators.hygiene import reject_reason, sanitize
 from recallspark.operators.ordering import first_of_each, number_in_file_order
 from recallspark.operators.upsert import without_stored
-from recallspark.runtime import Stage, path_exists
+from recallspark.runtime import Stage, make_folder
 from recallspark.schemas import TABLES
 from recallspark.settings import DEFAULTS, Settings
 from recallspark.sources.transcripts import (
@@ -62,9 +62,9 @@ class Store:
         return f"{self.root}/{table}"
 
     def create(self) -> Store:
-        for table, schema in TABLES.items():
-            if not path_exists(self.spark, self.path(table)):
-                self.spark.createDataFrame([], schema).write.parquet(self.path(table))
+        """Folders of all tables; one without files is an empty table."""
+        for table in TABLES:
+            make_folder(self.spark, self.path(table))
         return self
 
     def read(self, table: str) -> DataFrame:

@@ -27,12 +27,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str) -> tuple:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = _file_system(spark, path)
     return bool(fs.exists(hadoop_path))
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _file_system(spark, path)
+    fs.mkdirs(hadoop_path)
+
+
 def is_narrow(df: DataFrame) -> bool:
     """Whether a table fills fewer splits than there are cores."""
     return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
@@ -62,8 +71,7 @@ class Stage:
         return written, seen.get["rows"]
 
     def close(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, path = _file_system(self.spark, self.root)
         fs.delete(path, True)
 
     def __enter__(self) -> Stage:

@@ -53,3 +53,15 @@ def test_known_files_are_left_out_by_path(spark):
     assert [r.file_path for r in left.collect()] == ["b"]
     assert "LeftAnti" in plan_of(left)
     assert left.filter(F.col("file_size") < 0).count() == 0
+
+
+def test_stage_lives_in_the_named_folder(spark):
+    from recallspark.runtime import Stage, path_exists
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    with Stage(spark) as stage:
+        assert stage.root.startswith(named + "/")
+        written, n = stage.write_counted(spark.range(7).toDF("id"), "numbers")
+        assert n == written.count() == 7
+        assert path_exists(spark, stage.root)
+    assert not path_exists(spark, stage.root)
