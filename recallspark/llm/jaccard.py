@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recallspark.llm.arrow import Scratch, map_batches, row_key
 from recallspark.llm.components import connected
@@ -15,7 +16,8 @@ from recallspark.llm.words import Words, mix, signed, text_slices
 
 #: Buckets of the frequency sketch that orders shingles, and of the set profile that bounds overlaps.
 SKETCH_BITS, PROFILE = 16, 128
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
+_TRIALS = 2
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,55 +175,108 @@ def _links(overlap, n1, n2, percent: int):
     return 100 * overlap >= percent * (n1 + n2 - overlap)
 
 
-def _profiles_and_sets(
-    docs: DataFrame, wanted: DataFrame, size: int, rarity, id_column: str, text_column: str, scratch: Scratch
-) -> DataFrame:
-    """For the wanted signatures: their members in order, and how many fall into each profile bucket."""
+def _profiles(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """How many members of each set fall into each of some hash buckets, counted to 255."""
+    buckets = (mix(values) % np.uint64(PROFILE)).astype(np.int64)
+    at = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * PROFILE + buckets
+    counts = np.bincount(at, minlength=(len(bounds) - 1) * PROFILE).reshape(-1, PROFILE)
+    return [row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8)]
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch, row, values, bounds in _sets(batches, 1, size):
-            values = _ordered(values, bounds, rarity.value)
-            own, profile = [], []
-            buckets = (mix(values) % np.uint64(PROFILE)).astype(np.int64)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                own.append(np.sort(signed(values[a:b])).tobytes())
-                profile.append(np.minimum(np.bincount(buckets[a:b], minlength=PROFILE), 65535).astype("<u2").tobytes())
-            yield {"sig": batch.column(0).slice(row, len(own)), "members": own, "profile": profile}
 
-    texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("text"))
-    chosen = texts.join(wanted, ["k1", "k2"]).dropDuplicates(["sig"]).select("sig", "text")
-    return scratch.write(map_batches(chosen, kernel, "sig bigint, members binary, profile binary"))
+_PAIR = "a bigint, an int, b bigint, bn int"
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Exact overlaps of the pairs (a, an, b, bn) whose profiles allow a link; other pairs vanish."""
+def _able(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, an, b, bn) whose profiles leave a link possible, with the overlap they allow at most."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PROFILE) for c in ("pa", "pb"))
-            an, bn = batch.column("an").to_numpy(), batch.column("bn").to_numpy()
-            # a full bucket of 65535 bounds nothing, so the set's size takes its place
-            full = ((p == 65535) & (q == 65535)).any(axis=1)
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE) for c in ("pa", "pb"))
+            an, bn = batch.column("an").to_numpy().astype(np.int64), batch.column("bn").to_numpy().astype(np.int64)
+            # a full bucket bounds nothing, so the smaller set's size takes its place
+            full = ((p == 255) & (q == 255)).any(axis=1)
             most = np.where(full, np.minimum(an, bn), np.minimum(p, q).sum(axis=1, dtype=np.int64))
-            able = 100 * most >= percent * (an + bn - most)
+            able = _links(most, an, bn, percent)
             kept = batch.filter(pa.array(able))
+            yield {**{c: kept.column(c) for c in ("a", "an", "b", "bn")}, "most": most[able]}
+
+    profiled = pairs.join(profiles.select(F.col("sig").alias("a"), F.col("profile").alias("pa")), "a")
+    profiled = profiled.join(profiles.select(F.col("sig").alias("b"), F.col("profile").alias("pb")), "b")
+    return map_batches(profiled.select("a", "an", "b", "bn", "pa", "pb"), bound, f"{_PAIR}, most bigint")
+
+
+def _members(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """The members of the wanted sets (k1, k2, sig) from their texts (k1, k2, text)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch, row, values, bounds in _sets(batches, 1, size):
+            own = [signed(values[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield {"sig": batch.column(0).slice(row, len(own)), "members": own}
+
+    chosen = texts.join(wanted, ["k1", "k2"]).select("sig", "text")
+    return map_batches(chosen, kernel, "sig bigint, members binary").dropDuplicates(["sig"])
+
+
+def _both(pairs: DataFrame, of_set: DataFrame, value: str) -> DataFrame:
+    joined = pairs.join(of_set.select(F.col("sig").alias("a"), F.col(value).alias("va")), "a")
+    joined = joined.join(of_set.select(F.col("sig").alias("b"), F.col(value).alias("vb")), "b")
+    return joined.select("a", "an", "b", "bn", "va", "vb")
+
+
+def _shortened(members: DataFrame) -> DataFrame:
+    """16 bits of each member, each value once."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            short = [np.unique(np.frombuffer(m.as_py(), np.uint64) >> np.uint64(48)).astype("<u2") for m in batch.column(1)]
+            yield {"sig": batch.column(0), "members": batch.column(1), "short": [x.tobytes() for x in short]}
+
+    return map_batches(members, digest, "sig bigint, members binary, short binary")
+
+
+def _overlaps(pairs: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Exact overlaps of the pairs (a, an, b, bn) that are links, and of those close to one.
+
+    Pairs are first compared by 16 bits of each member, which bounds the overlap closely.
+    """
+
+    def shared(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, ...]:
+        n, size = [], np.dtype(kind).itemsize
+        for x, y in zip(batch.column("va"), batch.column("vb"), strict=True):
+            x, y = x.as_py(), y.as_py()
+            both = len(np.intersect1d(np.frombuffer(x, kind), np.frombuffer(y, kind), True))
+            n.append((both, len(x) // size, len(y) // size))
+        return tuple(np.array(n, np.int64).reshape(-1, 3).T)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            an, bn = (batch.column(c).to_numpy().astype(np.int64) for c in ("an", "bn"))
+            both, x, y = shared(batch, "<u2")
+            kept = batch.filter(pa.array(_links(both + np.minimum(an - x, bn - y), an, bn, percent)))
             yield {c: kept.column(c) for c in ("a", "an", "b", "bn")}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            n = [
-                len(np.intersect1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), True))
-                for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True)
-            ]
-            yield {**{c: batch.column(c) for c in ("a", "an", "b", "bn")}, "overlap": np.array(n, np.int64)}
+            yield {**{c: batch.column(c) for c in ("a", "an", "b", "bn")}, "overlap": shared(batch, "<i8")[0]}
 
-    pair = "a bigint, an int, b bigint, bn int"
-    profiled = pairs.join(sets.select(F.col("sig").alias("a"), F.col("profile").alias("pa")), "a")
-    profiled = profiled.join(sets.select(F.col("sig").alias("b"), F.col("profile").alias("pb")), "b")
-    able = scratch.write(map_batches(profiled.select("a", "an", "b", "bn", "pa", "pb"), bound, pair))
-    whole = able.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("ma")), "a")
-    whole = whole.join(sets.select(F.col("sig").alias("b"), F.col("members").alias("mb")), "b")
-    return scratch.write(map_batches(whole.select("a", "an", "b", "bn", "ma", "mb"), count, pair + ", overlap bigint"))
+    close = scratch.write(map_batches(_both(pairs, members, "short"), bound, _PAIR))
+    return scratch.write(map_batches(_both(close, members, "members"), count, f"{_PAIR}, overlap bigint"))
+
+
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.filter(_links(F.col("overlap"), F.col("an"), F.col("bn"), percent)).select("a", "b")
+
+
+def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose sets lie in different components (v, c) so far."""
+    of = [joined.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b")]
+    both = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
+
+def _wanted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    both = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    return sets.select("k1", "k2", "sig").join(both, "sig", "left_semi")
 
 
 def link_components(
@@ -259,11 +314,12 @@ def link_components(
                 "k2": rows.column(2),
                 "n": np.diff(bounds),
                 "sig": _signatures(values, bounds),
+                "profile": _profiles(values, bounds),
             }
 
     kind = docs.schema[id_column].dataType.simpleString()
     keyed = docs.select(F.col(id_column), *row_key(id_column, text_column), F.col(text_column).alias("text"))
-    rows = map_batches(keyed, describe, f"`{id_column}` {kind}, k1 bigint, k2 bigint, n bigint, sig bigint")
+    rows = map_batches(keyed, describe, f"`{id_column}` {kind}, k1 bigint, k2 bigint, n bigint, sig bigint, profile binary")
     rows = scratch.write(rows)
     lists = scratch.write(_lists(_postings(texts, shingle, percent, rarity)))
 
@@ -272,13 +328,15 @@ def link_components(
     stars = scratch.write(
         stars.select(F.col("head").alias("a"), F.col("head_n").alias("an"), F.col("sig").alias("b"), F.col("n").alias("bn")).distinct()
     )
-    listed = lists.select("sig").distinct()
-    wanted = rows.filter("sig != 0").join(listed, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    sets = _profiles_and_sets(
-        docs, wanted.select("sig", "k.k1", "k.k2"), shingle, rarity, id_column, text_column, scratch
-    )
-    compared = _overlaps(stars, sets, percent, scratch)
-    linked = compared.filter(_links(F.col("overlap"), F.col("an"), F.col("bn"), percent)).select("a", "b")
+    first = F.struct("k1", "k2", "profile")
+    sets = rows.filter("sig != 0").groupBy("sig").agg(F.min(first).alias("first")).select("sig", "first.*")
+    sets = scratch.write(sets.join(lists.select("sig").distinct(), "sig", "left_semi"))
+    texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("text"))
+    able = scratch.write(_able(stars, sets, percent))
+    wanted = scratch.write(_wanted(able, sets))
+    members = scratch.write(_shortened(_members(texts, wanted, shingle)))
+    compared = _overlaps(able, members, percent, scratch)
+    linked = _linked(compared, percent)
     joined = connected(linked, scratch)
 
     # lists that still hold several components: pairs across them
@@ -311,10 +369,24 @@ def link_components(
         F.col("x_sig").alias("a"), F.col("x_n").alias("an"), F.col("z_sig").alias("b"), F.col("z_n").alias("bn"), certain.alias("certain")
     )
     pairs = scratch.write(pairs.groupBy("a", "an", "b", "bn").agg(F.max("certain").alias("certain")))
-    counted = _overlaps(pairs.filter(~F.col("certain")).drop("certain"), sets, percent, scratch)
-    more = counted.filter(_links(F.col("overlap"), F.col("an"), F.col("bn"), percent)).select("a", "b")
-    across = pairs.filter("certain").select("a", "b").union(more)
-    joined = connected(linked.union(across), scratch)
+    able = scratch.write(_able(pairs.filter(~F.col("certain")).drop("certain"), sets, percent))
+    more_wanted = scratch.write(_wanted(able, sets).join(wanted, "sig", "left_anti"))
+    members = members.union(scratch.write(_shortened(_members(texts, more_wanted, shingle))))
+    edges = linked.union(scratch.write(pairs.filter("certain").select("a", "b")))
+    joined = connected(edges, scratch)
+    done = None
+    for _ in range(_TRIALS):
+        # the likeliest link of each set first: most later pairs then lie inside a component and need no answer
+        likely = Window.partitionBy("a").orderBy(F.desc(F.col("most") / (F.col("an") + F.col("bn"))), "b")
+        trial = _across(able, joined).withColumn("r", F.row_number().over(likely)).filter("r <= 2").drop("r")
+        trial = scratch.write(trial)
+        edges = edges.union(_linked(_overlaps(trial, members, percent, scratch), percent))
+        joined = connected(edges, scratch)
+        tried = trial.select("a", "b")
+        done = tried if done is None else done.union(tried)
+    rest = scratch.write(_across(able, joined).join(done, ["a", "b"], "left_anti"))
+    edges = edges.union(_linked(_overlaps(rest, members, percent, scratch), percent))
+    joined = connected(edges, scratch)
 
     groups = rows.filter("sig != 0").groupBy("sig").agg(F.min(id_column).alias("least"))
     groups = groups.join(joined.withColumnRenamed("v", "sig"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))

@@ -15,7 +15,7 @@ from recallspark.llm.words import Words, mix, signed, text_slices
 
 #: A perfect difference set: every difference modulo PERIOD is one of two members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 
 
 def _covered(words: Words, width: int) -> np.ndarray:

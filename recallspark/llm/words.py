@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES, _HASHED_BYTES = 1 << 20, 1 << 18
 _U = np.uint64
 
 
@@ -21,20 +21,24 @@ def mix(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and its inverse modulo 2**64 for k below 2**bits; base is odd."""
-    n = 1 << bits
-    with np.errstate(over="ignore"):
-        up = np.full(n, base, np.uint64)
-        down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**k and its inverse modulo 2**64 for k up to n at least; base is odd."""
+    if base not in _POWERS or len(_POWERS[base][0]) <= n:
+        size = 1 << max(16, n.bit_length())
+        with np.errstate(over="ignore"):
+            up = np.full(size, base, np.uint64)
+            down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            _POWERS[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return _POWERS[base]
 
 
 def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hash of values[start:end], the same wherever the range lies."""
-    up, down = _powers(base, max(16, int(len(values)).bit_length()))
+    up, down = _powers(base, len(values))
     sums = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -76,9 +80,18 @@ class Words:
         self.text = np.repeat(np.arange(self.texts), self.counts)
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        values = _byte_values(self.lower, seed)[self.data]
-        sums = range_sums(values, self.starts, self.ends, _WORD_BASE)
-        return mix(sums ^ (self.ends - self.starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+        """A hash of each word, some hundred kilobytes of text at a time."""
+        values = _byte_values(self.lower, seed)
+        out = np.zeros(len(self.starts), np.uint64)
+        first = 0
+        while first < len(out):
+            low = self.starts[first]
+            last = max(int(np.searchsorted(self.ends, low + _HASHED_BYTES, "right")), first + 1)
+            starts, ends = self.starts[first:last] - low, self.ends[first:last] - low
+            sums = range_sums(values[self.data[low : low + ends[-1]]], starts, ends, _WORD_BASE)
+            out[first:last] = mix(sums ^ (ends - starts).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+            first = last
+        return out
 
     def windows(self, words: np.ndarray, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
         """Hashes of `width` words from each start; the caller keeps them inside a text."""
