@@ -264,18 +264,14 @@ def findings(texts: list[str], drawn: int = 1500, most: int = 4000, seed: int =
 
 
 def fit(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = 2000, longest: int = 6000
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = 4000, longest: int = 6000
 ) -> Network:
-    """Learn from the findings of a bounded sample: `rows` texts of up to `longest` characters,
-    half of them with an exact finding, drawn by a hash of id and text. Null texts take no part."""
-    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t"))
-    texts = texts.filter(F.length("_t").between(1, longest)).withColumn("_h", F.xxhash64(F.lit(13), "_id", "_t"))
-    hint = F.col("_t").rlike("[0-9a-f]{24}|AKIA[A-Z0-9]{16}|(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]")
-    sample = [
-        r._t
-        for wanted in (hint, ~hint)
-        for r in texts.filter(wanted).orderBy("_h", "_t").limit(rows // 2).select("_t").collect()
-    ]
+    """Learn from the findings of a bounded sample: about `rows` ids drawn by a hash, and never more
+    texts than that, of up to `longest` characters. Null ids and texts take no part."""
+    share = min(1.0, rows / max(1, docs.count()))
+    drawn = F.pmod(F.xxhash64(F.lit(13), id_column), F.lit(1 << 30)) < int(share * (1 << 30))
+    texts = docs.filter(F.col(id_column).isNotNull() & drawn & F.length(text_column).between(1, longest))
+    sample = [r[0] for r in texts.select(text_column).limit(rows).collect()]
     return train(*findings(sorted(sample, key=lambda t: hashlib.md5(t.encode()).digest())))
 
 

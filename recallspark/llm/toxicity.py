@@ -268,22 +268,28 @@ def fit(
     rows_per_label: int = 2500,
     longest: int = 4000,
 ) -> Machine:
-    """Learn from a bounded sample: of each label at most `rows_per_label` texts of up to `longest` characters.
+    """Learn from a bounded sample: of each label at most `rows_per_label` ids, their texts of up to `longest` characters.
 
-    The sample is drawn by a hash of the id from rows that are not held out;
-    null texts, ids and labels take no part.
+    The ids are drawn by a hash from labelled rows that are not held out, so
+    only the chosen texts reach the driver; null texts, ids and labels take no part, a repeated id gives one text.
     """
     known = labels.select(F.col(id_column).alias("_id"), (F.col(label_column) > 0).cast("int").alias("_y"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out("_id"))
-    known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
+    known = known.join(docs.select(F.col(id_column).alias("_id")), "_id", "left_semi")
+    known = known.groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64(F.lit(11), "_id"))
+    drawn = [
+        (r._id, y)
+        for y in (0, 1)
+        for r in known.filter(F.col("_y") == y).orderBy("_h", "_id").limit(rows_per_label).select("_id").collect()
+    ]
+    if not drawn:
+        return train([], [])
+    chosen = docs.sparkSession.createDataFrame(drawn, f"_id {docs.schema[id_column].dataType.simpleString()}, _y int")
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_t"))
-    texts = texts.filter(F.length("_t").between(1, longest) & ~held_out("_id"))
-    joined = texts.join(known, "_id").withColumn("_h", F.xxhash64(F.lit(11), "_id", "_t"))
-    sample = []
-    for y in (0, 1):
-        rows = joined.filter(F.col("_y") == y).orderBy("_h", "_t").limit(rows_per_label).select("_t").collect()
-        sample += [(r._t, y) for r in rows]
-    return train([t for t, _ in sample], [y for _, y in sample])
+    texts = texts.filter(F.length("_t").between(1, longest)).join(F.broadcast(chosen), "_id")
+    sample = texts.groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y")).collect()
+    sample.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id))
+    return train([r._t for r in sample], [r._y for r in sample])
 
 
 def score_texts(
