@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from recallspark.functions.models import loaded, name_of
 from recallspark.functions.pytext import NON_SPACE, java_pattern, replace_each, strip
 from recallspark.runtime import array_slices
 from recallspark.schemas import MAPPING_ENTRY, RECOGNISED
@@ -76,7 +77,7 @@ class Gazetteer:
 class ModelRecogniser:
     """Recogniser around a Python model.
 
-    `load` runs once per worker and returns texts -> one list of (text, label,
+    `load` runs once in each worker process and returns texts -> one list of (text, label,
     score) per text. Only the text column travels to the worker.
     """
 
@@ -84,11 +85,11 @@ class ModelRecogniser:
         self._load = load
 
     def __call__(self, texts: DataFrame, text: str, out: str) -> DataFrame:
-        load, fields = self._load, RECOGNISED.elementType.names
+        load, fields, name = self._load, RECOGNISED.elementType.names, name_of(self._load)
 
         @arrow_udf(RECOGNISED)
         def entities(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            find = load()
+            find = loaded(name, load)
             kind = pa.list_(
                 pa.struct(list(zip(fields, (pa.string(), pa.string(), pa.float64()))))
             )
@@ -96,7 +97,7 @@ class ModelRecogniser:
                 found = find([t or "" for t in batch.to_pylist()])
                 yield pa.array([[dict(zip(fields, e)) for e in row] for row in found], kind)
 
-        return texts.withColumn(out, entities(text))
+        return texts.withColumn(out, entities.asNondeterministic()(text))
 
 
 def keep_entities(

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import arrow_udf
 
+from recallspark.functions.models import loaded, name_of
 from recallspark.settings import DEFAULTS
 
 Encode = Callable[[list[str]], np.ndarray]
@@ -65,14 +66,16 @@ def embed(
 ) -> DataFrame:
     """Add `out`; only the text column travels to the Python worker."""
     model = embedder or HashEmbedder()
+    name = name_of(model)
 
     @arrow_udf("array<float>")
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = model.load()
+        encode = loaded(name, model.load)
         for batch in batches:
             matrix = np.ascontiguousarray(encode(batch.to_pylist()), dtype=np.float32)
             rows, dims = matrix.shape
             offsets = np.arange(rows + 1, dtype=np.int32) * dims
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.reshape(-1)))
 
-    return df.withColumn(out, vectors(text))
+    # Not to be moved or repeated by the optimiser: the model runs once for each text.
+    return df.withColumn(out, vectors.asNondeterministic()(text))

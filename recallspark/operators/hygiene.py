@@ -70,7 +70,7 @@ def reject_reason(text: Column, settings: Settings = DEFAULTS) -> Column:
         .when(size > limit, F.format_string(f"{LONG_REASON} (%d > {limit})", size))
         .when(
             share < settings.min_printable_share,
-            F.format_string(f"{BINARY_REASON} (%.0f%% printable)", share * 100),
+            F.format_string(f"{BINARY_REASON} (%d%% printable)", F.bround(share * 100).cast("int")),
         )
     )
 

@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from recallspark.runtime import Stage
 
 # Above this many groups with a second block, totals are taken for all groups.
-_LISTED_GROUPS = 10_000
 
 # Rows of a split table (path and two numbers) that are broadcast at most.
 _BROADCAST_ROWS = 200_000
@@ -54,15 +53,10 @@ def number_items(
         .agg(F.max(block).alias("_last"))
         .filter("_last > 0")
         .select(group)
-        .limit(_LISTED_GROUPS + 1)
-        .collect()
     )
-    if not long_groups:
+    if long_groups.isEmpty():
         return local.drop("_block", "_n")
-
-    counted = blocked
-    if len(long_groups) <= _LISTED_GROUPS:
-        counted = counted.filter(F.col(group).isin([row[0] for row in long_groups]))
+    counted = blocked.join(long_groups, group, "left_semi")
     totals = counted.groupBy(group, "_block").agg(F.sum("_n").alias("_n"))
     starts = block_starts(totals, [group], "_block", "_n", "_before").filter("_before > 0")
     return (

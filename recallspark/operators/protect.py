@@ -38,14 +38,19 @@ def encrypt_columns(df: DataFrame, columns: list[str], password: str) -> DataFra
 
 
 def decrypt_columns(df: DataFrame, columns: list[str], password: str) -> DataFrame:
-    """Undo `encrypt_columns`; a wrong password fails the job."""
-    first = df.select("salt").first()
-    if first is None:
-        return df.drop("salt").withColumns({c: F.col(c).cast("string") for c in columns})
-    key = _secret(df.sparkSession, derive_key(password, bytes(first["salt"])))
-    return df.withColumns(
-        {c: F.aes_decrypt(F.col(c), key, F.lit("GCM")).cast("string") for c in columns}
-    ).drop("salt")
+    """Undo `encrypt_columns`; a wrong password fails the job.
+
+    Every write has its own salt: one key is derived for each and joined to its rows.
+    """
+    salts = [bytes(row["salt"]) for row in df.select("salt").distinct().collect()]
+    keys = [(bytearray(salt), bytearray(derive_key(password, salt))) for salt in salts]
+    # Rows of a table, unlike literals, stay out of the printed plan.
+    keyed = F.broadcast(df.sparkSession.createDataFrame(keys, "salt binary, _key binary"))
+    return (
+        df.join(keyed, "salt")
+        .withColumns({c: F.aes_decrypt(F.col(c), F.col("_key"), F.lit("GCM")).cast("string") for c in columns})
+        .drop("salt", "_key")
+    )
 
 
 def write_protected(df: DataFrame, columns: list[str], password: str, path: str) -> str:

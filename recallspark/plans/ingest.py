@@ -79,6 +79,11 @@ def new_files(listing: DataFrame, log: DataFrame) -> DataFrame:
     return listing.join(log.select("file_path").distinct(), "file_path", "left_anti")
 
 
+def _not_in(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that an earlier run, perhaps a broken one, has not stored yet."""
+    return rows.join(stored.select(*keys).distinct(), keys, "left_anti")
+
+
 def prepare_chunks(parsed: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Parsed lines to chunks with `reject_reason`, redacted `content` and `warnings`.
 
@@ -126,13 +131,19 @@ def ingest_wave(
         result.total_chunks = totals["created"]
         result.chunks_rejected, result.chunks_warned = totals["rejected"], totals["warned"]
         if totals["rejected"]:
-            store.append(numbered.filter(~is_valid), "chunk_rejects")
+            known_by = ["file_path", "chunk_index", "reject_reason"]
+            store.append(_not_in(numbered.filter(~is_valid), store.read("chunk_rejects"), known_by), "chunk_rejects")
 
         valid = numbered.filter(is_valid)
         if totals["warned"]:
-            store.append(valid.withColumn("warning", F.explode("warnings")), "chunk_warnings")
+            warned = valid.withColumn("warning", F.explode("warnings"))
+            store.append(_not_in(warned, store.read("chunk_warnings"), [*KEYS, "warning"]), "chunk_warnings")
         if totals["stems"] < totals["files"]:
-            valid = first_of_each(valid, KEYS, [F.col("modified_at"), F.col("file_path")])
+            # Only texts of stems that several files share are shuffled.
+            shared = files.groupBy("conversation_id").count().filter("count > 1").select("conversation_id")
+            several = valid.join(shared, "conversation_id", "left_semi")
+            several = first_of_each(several, KEYS, [F.col("modified_at"), F.col("file_path")])
+            valid = valid.join(shared, "conversation_id", "left_anti").unionByName(several)
         stems = files.select("conversation_id").distinct()
         if totals["stems"] <= settings.files_per_wave:
             stems = F.broadcast(stems)

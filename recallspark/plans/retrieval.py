@@ -38,7 +38,7 @@ def find_hits(
 ) -> DataFrame:
     """The best chunks per question, with their text."""
     asked = embed(questions.select("query_id", "question"), "question", embedder)
-    return fetch_hits(nearest(chunks, asked, KEY, settings, stage=stage), chunks, KEY, stage)
+    return fetch_hits(nearest(chunks, asked, KEY, stage, settings), chunks, KEY, stage)
 
 
 def anonymize_hits(

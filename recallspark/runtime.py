@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -13,18 +12,9 @@ _CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it.
-
-    Only a local session without the setting gets a folder of its own.
-    """
+    """The folder all executors see, as the session names it; unset, one beside the warehouse tables."""
     folder = spark.conf.get(_CHECKPOINT_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CHECKPOINT_SETTING} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="recallspark-")
-    spark.conf.set(_CHECKPOINT_SETTING, folder)
-    return folder
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch").rstrip("/")
 
 
 def _file_system(spark: SparkSession, path: str) -> tuple:
@@ -42,13 +32,10 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(hadoop_path)
 
 
-def is_narrow(df: DataFrame) -> bool:
-    """Whether a table fills fewer splits than there are cores."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-
-
 class Stage:
-    """Tables written between two jobs of one run, removed at its end.
+    """Tables written between two jobs of one run, removed at its end or with the application.
+
+    Every write has a folder of its own, so a stage may serve any number of calls.
 
     A written table freezes row numbers and model outputs, so a lost executor
     or a second read never sees other values, and later passes read only the
@@ -58,10 +45,15 @@ class Stage:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+        self._writes = 0
+        fs, path = _file_system(spark, self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("append").parquet(path)
+        self._writes += 1
+        path = f"{self.root}/{name}-{self._writes}"
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:

@@ -22,3 +22,21 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def stage(spark):
+    """A stage that also keeps the plans of what it writes."""
+    from recallspark.runtime import Stage
+
+    class Recording(Stage):
+        def __init__(self, spark):
+            super().__init__(spark)
+            self.plans = []
+
+        def write(self, df, name):
+            self.plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(df, name)
+
+    with Recording(spark) as used:
+        yield used

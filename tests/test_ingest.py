@@ -73,7 +73,7 @@ def folder(tmp_path):
     (path / "sub" / "hidden.jsonl").write_text(line("not read"))
     (path / "notes.txt").write_text(line("not read"))
     (path / "a b+c%41[x].jsonl").write_bytes(
-        b"\r\n".join([line("first AK" + "IA" + "B" * 16, timestamp="1").encode(), b'{"type":"user\xff"}', line("second. " * 300).encode()])
+        b"\r\n".join([line("first AKIA" + "B" * 16, timestamp="1").encode(), b'{"type":"user\xff"}', line("second. " * 300).encode()])
     )
     (path / "long.v2.jsonl").write_text("\n".join(line(f"message {i}") for i in range(5000)))
     (path / "bad.jsonl").write_text(line("\x00" * 50) + "\n" + line("y" * 10001) + "\n")
@@ -192,3 +192,13 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     pick_up()
     assert stored(spark, stream) == stored(spark, batch) | {("new", 0): "new"}
     assert Store(spark, stream).read("ingestion_log").count() == 3
+
+
+def test_rejects_are_stored_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    record = {"type": "user", "timestamp": "1", "message": {"role": "user", "content": "\x01" * 50}}
+    (source / "bad.jsonl").write_text(json.dumps(record) + "\n")
+    for _ in range(3):
+        ingest_all(spark, str(source), str(tmp_path / "store"))
+    assert Store(spark, str(tmp_path / "store")).read("chunk_rejects").count() == 1

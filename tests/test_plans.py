@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recallspark.operators.chunking import chunk_messages, chunk_texts
 from recallspark.operators.embedding import embed
-from recallspark.operators.search import nearest
+from recallspark.operators.search import nearest, nearest_to
 from recallspark.plans.ingest import new_files, prepare_chunks
 from recallspark.sources.transcripts import list_transcripts, parse_lines, read_lines
 
@@ -36,12 +36,13 @@ def test_chunk_numbers_take_one_shuffle_by_block(spark):
     assert "Exchange" not in plan_of(chunk_texts(df, "content"))
 
 
-def test_search_reads_key_and_vector_only(spark, tmp_path):
+def test_search_reads_key_and_vector_only(spark, stage, tmp_path):
     rows = spark.range(5).selectExpr("string(id) AS conversation_id", "id AS chunk_index", "'long text' AS content")
     embed(rows, "content").write.parquet(str(tmp_path / "chunks"))
     chunks = spark.read.parquet(str(tmp_path / "chunks"))
     questions = embed(spark.createDataFrame([(1, "text")], "query_id int, question string"), "question")
-    plan = plan_of(nearest(chunks, questions, ["conversation_id", "chunk_index"]))
+    nearest(chunks, questions, ["conversation_id", "chunk_index"], stage)
+    plan = stage.plans[-1]
     assert "ReadSchema: struct<conversation_id:string,chunk_index:bigint,embedding:array<float>>" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
@@ -64,4 +65,14 @@ def test_stage_lives_in_the_named_folder(spark):
         written, n = stage.write_counted(spark.range(7).toDF("id"), "numbers")
         assert n == written.count() == 7
         assert path_exists(spark, stage.root)
+        again = stage.write(spark.range(3).toDF("id"), "numbers")
+        assert (again.count(), written.count()) == (3, 7)
     assert not path_exists(spark, stage.root)
+
+
+def test_model_runs_once_a_text(spark, stage):
+    chunks = embed(spark.range(50).selectExpr("id AS chunk_index", "string(id) AS content"), "content")
+    assert plan_of(nearest_to(chunks, [1.0] * 384, ["chunk_index"])).count("ArrowEvalPython") <= 2
+    questions = embed(spark.createDataFrame([(1, "7")], "query_id int, question string"), "question")
+    nearest(chunks, questions, ["chunk_index"], stage)
+    assert stage.plans[-1].count("ArrowEvalPython") == 1
