@@ -24,10 +24,16 @@ def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iter
                 for f in schema
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        _release()
 
     return df.mapInArrow(run, ddl)
 
 
+def _release() -> None:
+    """Give back what Arrow keeps for later: an idle worker beside a busy executor should be small."""
+    pa.default_memory_pool().release_unused()
+
+
 def rewrite_batches(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """The same columns, whatever their names, with each Arrow batch changed."""
     schema = to_arrow_schema(df.schema)
@@ -35,6 +41,7 @@ def rewrite_batches(df: DataFrame, change: Callable[[pa.RecordBatch], pa.RecordB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(change(batch).columns, schema=schema)
+        _release()
 
     return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, df.schema)
 

@@ -19,7 +19,7 @@ from recallspark.llm.arrow import map_batches
 _NONE = 1 << 62
 _SHIFT = 32
 _LATIN = 0x250
-_SLICE_TOKENS = 200_000
+_SLICE_TOKENS = 100_000
 _LONGEST = 64
 
 
@@ -230,7 +230,7 @@ class _Pool:
 class Encoder:
     """Encodes and decodes texts; remembers the ids of short pieces, up to a fixed number of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 1 << 20) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 1 << 18) -> None:
         self.split, self.remembered, self.pairs = splitter(pattern), remembered, Pairs(ranks)
         strings = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():

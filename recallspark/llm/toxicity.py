@@ -22,7 +22,7 @@ _TABLE = 0x3000
 #: Second and third place of a subsequence of three, within a span of five characters.
 _GAPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _DECAY = 0.7
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _SHORTEST, _FLOOR = 3, 3.0
 
 
