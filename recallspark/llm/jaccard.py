@@ -17,7 +17,7 @@ from recallspark.llm.words import Words, mix, signed, text_slices
 #: Buckets of the frequency sketch that orders shingles, and of the set profile that bounds overlaps.
 SKETCH_BITS, PROFILE = 16, 128
 _FLUSH = 1 << 18
-_TRIALS = 2
+_PIVOTS, _TRIALS = 2, 2
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,6 +274,31 @@ def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
 
 
+def _block(n: str, percent: int):
+    """A block holds sizes within the ratio that a link allows: only equal and next blocks can hold partners."""
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+
+
+def _open(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """The entries of lists that still hold several components, with their component."""
+    entries = lists.join(joined.withColumnRenamed("v", "sig"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))
+    spans = entries.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return entries.join(spans.filter("lo < hi").select("token"), "token")
+
+
+def _to_pivots(entries: DataFrame, turn: int, percent: int) -> DataFrame:
+    """In every block of an open list, the sets against one of them drawn by a hash, as pairs (a, an, b, bn)."""
+    entries = entries.withColumn("block", _block("n", percent))
+    one = F.struct(*(F.col(c).alias(f"p_{c}") for c in ("sig", "n", "place", "c")))
+    pivots = entries.groupBy("token", "block").agg(F.min_by(one, F.xxhash64(F.lit(turn), "sig")).alias("p"))
+    both = entries.join(pivots.select("token", "block", "p.*"), ["token", "block"])
+    both = both.filter((F.col("c") != F.col("p_c")) & _may_link("n", "place", "p_n", "p_place", percent))
+    own, pivot = F.struct("sig", "n"), F.struct(F.col("p_sig").alias("sig"), F.col("p_n").alias("n"))
+    both = both.select(F.least(own, pivot).alias("x"), F.greatest(own, pivot).alias("z"))
+    names = [F.col(c).alias(as_) for c, as_ in (("x.sig", "a"), ("x.n", "an"), ("z.sig", "b"), ("z.n", "bn"))]
+    return both.select(*names).distinct()
+
+
 def _wanted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
     return sets.select("k1", "k2", "sig").join(both, "sig", "left_semi")
@@ -297,7 +322,8 @@ def link_components(
     are skipped, as are blocks of the list whose sizes or positions exclude a
     link, and for two sets X, Z compared with the same H, |XH| + |ZH| - |H| <=
     |XZ| <= min(|XH|, |ZH|) + min(|X| - |XH|, |Z| - |ZH|) often decides without
-    reading either. What stays open is counted on the sets themselves, so the
+    reading either. Before that, the sets of every block are compared with one of them, a few times.
+    What stays open is counted on the sets themselves, so the
     links found connect all that link. Members are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -339,16 +365,28 @@ def link_components(
     linked = _linked(compared, percent)
     joined = connected(linked, scratch)
 
+    def read(pairs: DataFrame) -> None:
+        """Have the members of all sets of the pairs."""
+        nonlocal members, wanted
+        more = scratch.write(_wanted(pairs, sets).join(wanted, "sig", "left_anti"))
+        members = members.union(scratch.write(_shortened(_members(texts, more, shingle))))
+        wanted = wanted.union(more.select(*wanted.columns))
+
+    # a few more stars first: sets that resemble one another mostly join by them, and their pairs need no answer
+    edges, done = linked, None
+    for turn in range(_PIVOTS):
+        star = scratch.write(_able(_to_pivots(_open(lists, joined), turn, percent), sets, percent))
+        read(star)
+        edges = edges.union(_linked(_overlaps(star, members, percent, scratch), percent))
+        joined = connected(edges, scratch)
+        done = star.select("a", "b") if done is None else done.union(star.select("a", "b"))
+
     # lists that still hold several components: pairs across them
-    entries = lists.join(joined.withColumnRenamed("v", "sig"), "sig", "left")
-    entries = entries.withColumn("c", F.coalesce("c", "sig"))
-    open_ = entries.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token")
-    entries = entries.join(open_, "token").join(
+    entries = _open(lists, joined).join(
         compared.select(F.col("a").alias("head"), F.col("b").alias("sig"), F.col("overlap").alias("o")), ["head", "sig"], "left"
     )
     entries = scratch.write(entries.withColumn("o", F.when(F.col("sig") == F.col("head"), F.col("n")).otherwise(F.col("o"))))
-    # a block holds sizes within the ratio that a link allows: only equal and next blocks can hold partners
-    block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    block = _block("n", percent)
     left = entries.select(
         "token", "head_n", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "place", "c", "o", "head")),
         F.explode(F.array(block - 1, block, block + 1)).alias("block"),
@@ -369,12 +407,11 @@ def link_components(
         F.col("x_sig").alias("a"), F.col("x_n").alias("an"), F.col("z_sig").alias("b"), F.col("z_n").alias("bn"), certain.alias("certain")
     )
     pairs = scratch.write(pairs.groupBy("a", "an", "b", "bn").agg(F.max("certain").alias("certain")))
-    able = scratch.write(_able(pairs.filter(~F.col("certain")).drop("certain"), sets, percent))
-    more_wanted = scratch.write(_wanted(able, sets).join(wanted, "sig", "left_anti"))
-    members = members.union(scratch.write(_shortened(_members(texts, more_wanted, shingle))))
-    edges = linked.union(scratch.write(pairs.filter("certain").select("a", "b")))
+    doubtful = pairs.filter(~F.col("certain")).drop("certain").join(done, ["a", "b"], "left_anti")
+    able = scratch.write(_able(doubtful, sets, percent))
+    read(able)
+    edges = edges.union(scratch.write(pairs.filter("certain").select("a", "b")))
     joined = connected(edges, scratch)
-    done = None
     for _ in range(_TRIALS):
         # the likeliest link of each set first: most later pairs then lie inside a component and need no answer
         likely = Window.partitionBy("a").orderBy(F.desc(F.col("most") / (F.col("an") + F.col("bn"))), "b")
@@ -382,8 +419,7 @@ def link_components(
         trial = scratch.write(trial)
         edges = edges.union(_linked(_overlaps(trial, members, percent, scratch), percent))
         joined = connected(edges, scratch)
-        tried = trial.select("a", "b")
-        done = tried if done is None else done.union(tried)
+        done = done.union(trial.select("a", "b"))
     rest = scratch.write(_across(able, joined).join(done, ["a", "b"], "left_anti"))
     edges = edges.union(_linked(_overlaps(rest, members, percent, scratch), percent))
     joined = connected(edges, scratch)
