@@ -3,52 +3,100 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from itertools import count, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from recallspark.llm.arrow import Scratch
+from recallspark.llm.arrow import Scratch, map_batches
 
 _BUCKET_ROWS = 20_000
+#: Slots of the rarest source in a period: its weight is met to a part in so many.
+_LEAST_SLOTS = 1000
+_BATCH_SLOTS = 50_000
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Whole slots of a period for each source, by largest remainder and at least one."""
+    if len(weights) > period:
+        raise ValueError(f"{len(weights)} sources need a period of at least as many slots")
     total = sum(weights.values())
     exact = {k: w / total * period for k, w in weights.items()}
     slots = {k: max(1, int(x)) for k, x in exact.items()}
+    left = period - sum(slots.values())
     order = sorted(exact, key=lambda k: (slots[k] - exact[k], k))
-    at = 0
-    while (left := period - sum(slots.values())) != 0:
-        k = order[at % len(order)] if left > 0 else max(slots, key=lambda k: (slots[k] - exact[k], slots[k], k))
-        slots[k] += 1 if left > 0 else -1
-        at += 1
+    for at in range(left):
+        slots[order[at % len(order)]] += 1
+    # only sources above one slot can give one back
+    above = [(exact[k] - slots[k], k) for k in slots if slots[k] > 1] if left < 0 else []
+    heapq.heapify(above)
+    for _ in range(-left):
+        _, k = heapq.heappop(above)
+        slots[k] -= 1
+        if slots[k] > 1:
+            heapq.heappush(above, (exact[k] - slots[k], k))
     return slots
 
 
-def schedule(slots: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one period.
+def blocks(slots: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """The source of each slot and the number of its block there, without end.
 
-    Block k of a source with a of the p slots is released at floor(k p / a) and
-    due at ceil((k + 1) p / a); each slot takes the released block that is due
+    Block k of a source with a of the p slots of a period is released at floor(k p / a)
+    and due at ceil((k + 1) p / a); each slot takes the released block that is due
     first. As the shares fill the period, every block meets its date, no source
     is ever a whole block away from its share, and after a period all are exact,
-    so the same order repeats for ever.
+    so the same order repeats for ever. Only one block of each source is held.
     """
     period = sum(slots.values())
-    releases: list[list[tuple[int, str]]] = [[] for _ in range(period)]
-    for source, a in slots.items():
-        for k in range(a):
-            releases[k * period // a].append((-(-(k + 1) * period // a), source))
-    ready: list[tuple[int, str]] = []
-    order = []
-    for released in releases:
-        for block in released:
-            heapq.heappush(ready, block)
-        order.append(heapq.heappop(ready)[1])
-    return order
+    waiting = [(0, source, 0) for source in slots]
+    ready: list[tuple[int, str, int]] = []
+    for slot in count():
+        while waiting and waiting[0][0] <= slot:
+            _, source, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // slots[source]), source, k))
+        _, source, k = heapq.heappop(ready)
+        yield source, k
+        heapq.heappush(waiting, ((k + 1) * period // slots[source], source, k + 1))
+
+
+def schedule(slots: Mapping[str, int]) -> list[str]:
+    """The source of each slot of one period."""
+    return [source for source, _ in islice(blocks(slots), sum(slots.values()))]
+
+
+def _plan(sizes: DataFrame, period: int, block_rows: int, repeat: bool) -> DataFrame:
+    """Which block of which source stands in each slot: _s, _block, _slot.
+
+    The one task that deals the slots reads a row of each source (_s, _n, _w) and writes its slots
+    as it goes, until each source has given all its rows.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if not rows:
+            return
+        weights = {r["_s"]: r["_w"] for r in rows}
+        needed = {r["_s"]: -(-r["_n"] // block_rows) for r in rows}
+        least = math.ceil(sum(weights.values()) / min(weights.values()) * _LEAST_SLOTS)
+        dealt, slot, open_sources = blocks(shares(weights, max(period, least))), 0, len(rows)
+        while open_sources:
+            out: dict = {"_s": [], "_block": [], "_slot": []}
+            for source, k in islice(dealt, _BATCH_SLOTS):
+                if repeat or k < needed[source]:
+                    out["_s"].append(source)
+                    out["_block"].append(k)
+                    out["_slot"].append(slot)
+                slot += 1
+                open_sources -= k + 1 == needed[source]
+                if not open_sources:
+                    break
+            yield out
+
+    return map_batches(sizes.select("_s", "_n", "_w").repartition(1), kernel, "_s string, _block long, _slot long")
 
 
 def mix(
@@ -72,24 +120,20 @@ def mix(
 
     Returns the columns of `docs` and mix_slot, mix_position, mix_epoch (0 at a row's first
     turn); mix_position orders the mix and, with `repeat`, has no gaps.
-    `weights` names every source of the table (None for null), at most `period`
-    of them, and is rounded to whole slots of the period. Null ids and texts are
+    `weights` names every source of the table (None for null) with a weight above
+    zero; those of other sources do not count. Weights are rounded to whole slots of a period of at
+    least `period`, and so long that the rarest source has a thousand. Null ids and texts are
     ordinary values; repeated rows are separate rows; an empty table gives an
     empty mix; a column of a name the mix adds is replaced.
     """
     if not weights:
         raise ValueError("name a weight for every source")
-    if len(weights) > period:
-        raise ValueError(f"{len(weights)} sources need a period of at least as many slots")
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights must lie above zero")
     spark = docs.sparkSession
-    named = {f"s{k}" if k is not None else "n": float(w) for k, w in weights.items()}
-    slots = shares(named, period)
-    places: dict[str, list[int]] = {k: [] for k in named}
-    for slot, k in enumerate(schedule(slots)):
-        places[k].append(slot)
-    plan = F.broadcast(
-        spark.createDataFrame([(k, len(p), p) for k, p in places.items()], "_s string, _a int, _places array<int>")
-    )
+    scratch = Scratch(spark)
+    given = [(f"s{k}" if k is not None else "n", float(w)) for k, w in weights.items()]
+    named = spark.createDataFrame(given, "_s string, _w double")
 
     columns = [c for c in docs.columns if c not in ("mix_slot", "mix_position", "mix_epoch")]
     source = F.when(F.col(source_column).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_column)))
@@ -99,13 +143,13 @@ def mix(
         F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("_h"),
     )
     totals = keyed.groupBy("_s").agg(F.count("*").alias("_n"))
-    sizes = {r._s: r._n for r in totals.limit(period + 1).collect()}
-    if missing := sizes.keys() - named.keys():
-        raise ValueError(f"sources without a weight: {sorted(missing)[:10]}")
-    buckets = {k: -(-n // _BUCKET_ROWS) for k, n in sizes.items()}
-    facts = F.broadcast(
-        spark.createDataFrame([(k, n, buckets[k]) for k, n in sizes.items()], "_s string, _n long, _buckets long")
-    )
+    sizes = scratch.write(totals.join(named, "_s", "left"))
+    if missing := [r._s for r in sizes.filter("_w IS NULL").limit(10).collect()]:
+        raise ValueError(f"sources without a weight: {sorted(missing)}")
+    plan = scratch.write(_plan(sizes, period, block_rows, repeat))
+    takes = plan.groupBy("_s").agg(((F.max("_block") + 1) * block_rows).alias("_take"))
+    buckets = F.ceil(F.col("_n") / _BUCKET_ROWS).alias("_buckets")
+    facts = scratch.write(sizes.join(takes, "_s").select("_s", "_n", "_take", buckets))
     keyed = keyed.join(facts, "_s").withColumn("_b", F.pmod("_h", "_buckets")).drop("_buckets")
     starts = (
         keyed.groupBy("_s", "_b")
@@ -117,27 +161,20 @@ def mix(
     ranked = keyed.withColumn("_r", F.row_number().over(within) - 1)
     ranked = ranked.join(starts, ["_s", "_b"]).withColumn("_r", F.col("_r") + F.col("_start"))
 
-    last = 0
-    for k, n in sizes.items():
-        blocks = -(-n // block_rows)
-        turn, place = divmod(blocks - 1, slots[k])
-        last = max(last, turn * period + places[k][place] + 1)
-    turns = [(k, (last // period * slots[k] + sum(p < last % period for p in places[k])) * block_rows) for k in named]
-    rows = F.broadcast(spark.createDataFrame(turns, "_s string, _take long"))
-    repeated = ranked.join(plan, "_s").join(rows, "_s")
+    repeated = ranked
     if repeat:
         epochs = F.floor((F.col("_take") - 1 - F.col("_r")) / F.col("_n"))
         repeated = repeated.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
     else:
         repeated = repeated.withColumn("mix_epoch", F.lit(0).cast("long"))
     turn = F.col("_r") + F.col("mix_epoch") * F.col("_n")
-    block = F.floor(turn / block_rows)
-    place = F.get("_places", F.pmod(block, F.col("_a")).cast("int"))
-    slot = F.floor(block / F.col("_a")) * period + place
+    repeated = repeated.withColumn("_turn", turn).withColumn("_block", F.floor(F.col("_turn") / block_rows))
+    repeated = repeated.join(plan, ["_s", "_block"])
+    slot = F.col("_slot")
     return repeated.select(
         *columns,
         slot.alias("mix_slot"),
-        (slot * block_rows + F.pmod(turn, F.lit(block_rows))).alias("mix_position"),
+        (slot * block_rows + F.pmod("_turn", F.lit(block_rows))).alias("mix_position"),
         "mix_epoch",
     )
 

@@ -128,6 +128,14 @@ def test_schedule_keeps_every_source_within_a_block():
     assert seen == slots
 
 
+def test_shares_leave_a_slot_to_every_tiny_source():
+    weights = {"hot": 999.06, "x": 0.47, "y": 0.47} | {f"t{i}": 1e-6 for i in range(50)}
+    slots = mixing.shares(weights, 1000)
+    assert sum(slots.values()) == 1000 and min(slots.values()) == 1 and slots["hot"] == 948
+    with pytest.raises(ValueError):
+        mixing.shares(weights, 52)
+
+
 def test_impact_index_is_exact():
     rng = np.random.default_rng(7)
     v = rng.integers(-200, 200, (700, 12))

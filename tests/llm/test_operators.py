@@ -127,6 +127,21 @@ def test_mix(spark):
         mixing.mix(docs, {"a": 1.0})
 
 
+def test_mix_of_a_hot_source_and_tiny_ones(spark):
+    sizes = {"hot": 30_000, "a": 3, "b": 3, "c": 2}
+    rows = [(1000 * i + k if s != "hot" else -k, s, f"{s} {k}") for i, s in enumerate(sizes) for k in range(sizes[s])]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"hot": 0.9994, "a": 0.0002, "b": 0.0002, "c": 0.0002}
+    slots = mixing.mix(docs, weights).select("source", "mix_slot").distinct().orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in slots] == list(range(len(slots)))
+    seen = dict.fromkeys(sizes, 0)
+    for t, r in enumerate(slots, 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - t * weights[s]) < 1.01 for s in sizes)
+    mixed = mixing.mix(docs, weights)
+    assert mixed.select("doc_id").distinct().count() == len(rows) and mixed.filter("source = 'a'").count() <= 2 * 8
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "source_mix", "tokens"]
