@@ -34,8 +34,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix; small sources begin again until all hold their target weight."""
-    weights = source_weights(docs)
-    return mixing.in_order(mixing.mix(docs, weights), docs.columns) if weights else docs
+    return mixing.in_order(mixing.mix(docs, source_weights(docs)), docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

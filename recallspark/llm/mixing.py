@@ -8,7 +8,7 @@ from collections.abc import Iterator, Mapping
 from itertools import count, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -101,7 +101,7 @@ def _plan(sizes: DataFrame, period: int, block_rows: int, repeat: bool) -> DataF
 
 def mix(
     docs: DataFrame,
-    weights: Mapping[str | None, float],
+    weights: Mapping[str | None, float] | DataFrame,
     source_column: str = "source",
     id_column: str = "doc_id",
     text_column: str = "text",
@@ -121,31 +121,37 @@ def mix(
     Returns the columns of `docs` and mix_slot, mix_position, mix_epoch (0 at a row's first
     turn); mix_position orders the mix and, with `repeat`, has no gaps.
     `weights` names every source of the table (None for null) with a weight above
-    zero; those of other sources do not count. Weights are rounded to whole slots of a period of at
+    zero, in a mapping or, for any number of sources, in a table of the source column and
+    weight; those of other sources do not count. Weights are rounded to whole slots of a period of at
     least `period`, and so long that the rarest source has a thousand. Null ids and texts are
     ordinary values; repeated rows are separate rows; an empty table gives an
     empty mix; a column of a name the mix adds is replaced.
     """
-    if not weights:
-        raise ValueError("name a weight for every source")
-    if any(not 0 < w < math.inf for w in weights.values()):
-        raise ValueError("weights must lie above zero")
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    given = [(f"s{k}" if k is not None else "n", float(w)) for k, w in weights.items()]
-    named = spark.createDataFrame(given, "_s string, _w double")
+
+    def name(source: Column) -> Column:
+        return F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source))
+
+    if isinstance(weights, DataFrame):
+        named = weights.select(name(F.col(source_column)).alias("_s"), F.col("weight").cast("double").alias("_w"))
+    elif weights:
+        given = [(f"s{k}" if k is not None else "n", float(w)) for k, w in weights.items()]
+        named = spark.createDataFrame(given, "_s string, _w double")
+    else:
+        raise ValueError("name a weight for every source")
 
     columns = [c for c in docs.columns if c not in ("mix_slot", "mix_position", "mix_epoch")]
-    source = F.when(F.col(source_column).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source_column)))
     keyed = docs.select(
         *columns,
-        source.alias("_s"),
+        name(F.col(source_column)).alias("_s"),
         F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("_h"),
     )
     totals = keyed.groupBy("_s").agg(F.count("*").alias("_n"))
     sizes = scratch.write(totals.join(named, "_s", "left"))
-    if missing := [r._s for r in sizes.filter("_w IS NULL").limit(10).collect()]:
-        raise ValueError(f"sources without a weight: {sorted(missing)}")
+    usable = F.coalesce((F.col("_w") > 0) & (F.col("_w") < math.inf), F.lit(False))
+    if missing := [r._s for r in sizes.filter(~usable).limit(10).collect()]:
+        raise ValueError(f"sources without a weight above zero: {sorted(missing)}")
     plan = scratch.write(_plan(sizes, period, block_rows, repeat))
     takes = plan.groupBy("_s").agg(((F.max("_block") + 1) * block_rows).alias("_take"))
     buckets = F.ceil(F.col("_n") / _BUCKET_ROWS).alias("_buckets")
@@ -179,15 +185,10 @@ def mix(
     )
 
 
-def tempered_weights(docs: DataFrame, source_column: str, power: float, most: int) -> dict[str | None, float]:
-    """Weights in proportion to a power of the sources' row counts: below 1, rare sources gain.
-
-    A table of more than `most` sources is refused.
-    """
-    counts = docs.groupBy(source_column).agg(F.count("*").alias("_n")).limit(most + 1).collect()
-    if len(counts) > most:
-        raise ValueError(f"more than {most} sources")
-    return {r[0]: float(r[1]) ** power for r in counts}
+def tempered_weights(docs: DataFrame, source_column: str, power: float) -> DataFrame:
+    """The source column and weight, in proportion to a power of the sources' row counts: below 1, rare sources gain."""
+    counts = docs.groupBy(source_column).agg(F.count("*").alias("_n"))
+    return counts.select(source_column, F.pow("_n", F.lit(power)).alias("weight"))
 
 
 def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:

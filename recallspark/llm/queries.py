@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Sources are mixed by this power of their size: rare ones gain a little.
-SMOOTHING, MOST_SOURCES = 0.9, 1000
+SMOOTHING = 0.9
 TOXIC = 0.3
 
 
@@ -65,18 +65,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
-def source_weights(docs: DataFrame) -> dict[str | None, float]:
-    return mixing.tempered_weights(docs, "source", SMOOTHING, MOST_SOURCES)
+def source_weights(docs: DataFrame) -> DataFrame:
+    return mixing.tempered_weights(docs, "source", SMOOTHING)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    weights = source_weights(docs)
-    if not weights:
-        return docs.select("doc_id", "source").withColumns(
-            {c: F.lit(None).cast("long") for c in ("mix_slot", "mix_position", "mix_epoch")}
-        )
-    return mixing.mix(docs, weights).select("doc_id", "source", "mix_slot", "mix_position", "mix_epoch")
+    return mixing.mix(docs, source_weights(docs)).select("doc_id", "source", "mix_slot", "mix_position", "mix_epoch")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,17 @@ def test_mix_of_a_hot_source_and_tiny_ones(spark):
     assert mixed.select("doc_id").distinct().count() == len(rows) and mixed.filter("source = 'a'").count() <= 2 * 8
 
 
+def test_mix_of_more_sources_than_a_period(spark, tmp_path):
+    rows = [(i, f"s{i % 1500}" if i < 3000 else None, f"text {i}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    mixed = queries.op4_mixing(spark, str(tmp_path))
+    assert {(r.doc_id, r.source) for r in mixed.collect()} == {(i, s) for i, s, _ in rows}
+    ends = mixed.select(F.min("mix_position"), F.max("mix_position") + 1, F.count("*")).first()
+    assert ends[0] == 0 and ends[1] == ends[2] == mixed.select("mix_position").distinct().count()
+    assert corpus_pipeline.mix_sources(spark, docs.limit(0), "").collect() == []
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "source_mix", "tokens"]
