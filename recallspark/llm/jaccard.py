@@ -326,8 +326,25 @@ def link_components(
     What stays open is counted on the sets themselves, so the
     links found connect all that link. Members are compared by 64-bit hashes.
     """
+    scratch = Scratch(docs.sparkSession)
+    rows, groups = _grouped(docs, id_column, text_column, shingle, percent, scratch)
+    smallest = groups.groupBy("c").agg(F.min("first.id").alias("component_id"))
+    of_set = scratch.write(groups.join(smallest, "c").select("sig", "component_id"))
+    return rows.join(of_set, "sig", "left").select(
+        id_column,
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("sig") == 0, F.col(id_column)).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _grouped(
+    docs: DataFrame, id_column: str, text_column: str, shingle: int, percent: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with the signature of their set (0: none), and of each set its component c and first row.
+
+    The first row is that of the smallest id, null last: missing, id, k1, k2.
+    """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     texts = docs.select(F.col(text_column).alias("text"))
     rarity = spark.sparkContext.broadcast(_sketch(texts, shingle))
 
@@ -424,25 +441,25 @@ def link_components(
     edges = edges.union(_linked(_overlaps(rest, members, percent, scratch), percent))
     joined = connected(edges, scratch)
 
-    groups = rows.filter("sig != 0").groupBy("sig").agg(F.min(id_column).alias("least"))
+    first = F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), "k1", "k2")
+    groups = rows.filter("sig != 0").groupBy("sig").agg(F.min(first).alias("first"))
     groups = groups.join(joined.withColumnRenamed("v", "sig"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))
-    smallest = groups.groupBy("c").agg(F.min("least").alias("component_id"))
-    of_set = scratch.write(groups.join(smallest, "c").select("sig", "component_id"))
-    return rows.join(of_set, "sig", "left").select(
-        id_column,
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("sig") == 0, F.col(id_column)).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    return rows, groups
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+def keep_first(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 75
+) -> DataFrame:
     """One row of each component: that of the smallest id, once if repeated. All columns stay.
 
     Rows without shingles all stay, repeated or not; a null id stays if its whole component has none.
+    Rows of one id, or of null ids, that are in different components all stay.
     """
-    found = link_components(docs, id_column, text_column, **options)
-    heads = found.filter((F.col("n_shingles") > 0) & F.col(id_column).eqNullSafe(F.col("component_id")))
-    heads = Scratch(docs.sparkSession).write(heads.select(F.col(id_column).alias("_head")).distinct())
+    scratch = Scratch(docs.sparkSession)
+    _, groups = _grouped(docs, id_column, text_column, shingle, percent, scratch)
+    heads = groups.groupBy("c").agg(F.min("first").alias("first"))
+    heads = scratch.write(heads.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")))
     empty = ~F.coalesce(F.col(text_column), F.lit("")).rlike("[^ \\t-\\r]")
-    held = docs.filter(~empty).join(heads, F.col(id_column).eqNullSafe(F.col("_head"))).drop("_head")
-    return held.dropDuplicates([id_column]).unionByName(docs.filter(empty))
+    k1, k2 = row_key(id_column, text_column)
+    held = docs.filter(~empty).withColumns({"_k1": k1, "_k2": k2}).join(heads, ["_k1", "_k2"])
+    return held.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2").unionByName(docs.filter(empty))

@@ -111,6 +111,14 @@ def test_odd_documents(spark):
     assert (removed[5], removed[6], removed[7], removed[8], removed[1]) == (60, 0, 60, 200_000, 0)
 
 
+def test_unlinked_texts_of_one_id_all_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcde"]
+    rows = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (8, texts[4]), (None, texts[4]), (7, texts[1])]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(7, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (8, texts[4])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+
+
 def test_mix(spark):
     docs = odd_documents(spark)
     weights = {None: 1.0, "a": 2.0, "b": 1.0, "c": 1.0}
