@@ -54,12 +54,17 @@ def _anchors():
     for sign in ("@", "+", "://"):
         automaton.add_word(sign, (sign, len(sign)))
     for cue in _CUES:
-        for spelled in {cue, cue.upper(), cue.capitalize()}:
-            automaton.add_word(spelled, (cue, len(cue)))
+        automaton.add_word(cue, (cue, len(cue)))
     automaton.make_automaton()
     return automaton
 
 
+def _folded(text: str) -> str:
+    """The text in lower case, one code point for one."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -96,7 +101,7 @@ def find(text: str) -> list[Span]:
     base: list[Span] = []
     added: list[Span] = []
     email_end = phone_end = 0
-    for last, (sign, width) in _anchors().iter(text):
+    for last, (sign, width) in _anchors().iter(_folded(text)):
         after, first = last + 1, last + 1 - width
         if sign == "@":
             start = first

@@ -71,6 +71,17 @@ def test_added_personal_data_and_mask():
     assert pii.find("") == [] and pii.mask("plain", []) == "plain"
 
 
+def test_cues_in_any_case():
+    for cue, kind, value in (
+        ("Social Security number: ", "ssn", "123-45-6789"), ("sOCIAL sECURITY ", "ssn", "123-45-6789"),
+        ("AcCt no. ", "account", "12345678"), ("IBan ", "iban", "DE89 3704 0044 0532 0130 00"), ("tÉlÉphone ", "number", "030 1234567"),
+    ):
+        text = f"İİ x@y.zz {cue}{value}"
+        start = len(text) - len(value)
+        assert pii.find(text) == [("email", 3, 9), (kind, start, len(text))]
+        assert pii.mask(text, pii.find(text)) == f"İİ [EMAIL] {cue}[{kind.upper()}]"
+
+
 def test_base_secrets():
     rng = random.Random(4)
     signs = list("ab =:'\"é\n") + ["token", "API_KEY", "apikey", "Secret", "passwd", "AKIA", "ABCD1234EFGH5678", "deadbeef" * 3, "x1y2z3"]
