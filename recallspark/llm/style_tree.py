@@ -25,6 +25,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _CUE = re.compile(r"[a-z]+")
+# has-sidebar and the like tell of a layout, not of the element's own role
+_LAYOUT = re.compile(r"(?<![a-z])(?:has|have|with|without|no|not)[-_]+[a-z]+")
 
 # Elements of HTML by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +60,8 @@ _NOISE_WORDS = frozenset(
 )
 _HEADER_WORDS = frozenset(["header", "masthead"])
 _MAIN = frozenset(["article", "main"])
+#: An element that names itself noise stays with more than this share of the page's text: outside, and inside a marked part.
+_MOST, _MOST_MARKED = 0.5, 0.75
 
 
 class Node:
@@ -76,27 +80,28 @@ def _key(parent: int, look: str, ordinal: int) -> int:
 
 
 @lru_cache(maxsize=20_000)
-def _look(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """How an element presents itself (tag, class, id, role), whether that names noise, or a header."""
-    said, noise, header = [tag], tag in _HIDDEN, tag == "header"
+def _look(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """How an element presents itself (tag, class, id, role), whether it is noise, names noise, or a header."""
+    said, noise, cue, header = [tag], tag in _HIDDEN, False, tag == "header"
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             said.append(f"{name}={re.sub(r'[0-9]+', '0', value)}")
-            words = set(_CUE.findall(value)) if tag not in ("html", "body") else set()
-            noise |= not _NOISE_WORDS.isdisjoint(words)
+            words = set(_CUE.findall(_LAYOUT.sub(" ", value))) if tag not in ("html", "body") else set()
+            cue |= not _NOISE_WORDS.isdisjoint(words)
             header |= not _HEADER_WORDS.isdisjoint(words)
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             noise = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             noise = True
-    return " ".join(said), noise, header
+    return " ".join(said), noise, cue, header
 
 
 def parse(page: str) -> Node:
     """The page as a tree, with missing end tags supplied; never fails."""
     root = Node("", 0, "", False, False)
     stack = [root]
+    named: list[tuple[Node, bool, bool]] = []
     at = 0
 
     def text(piece: str) -> None:
@@ -124,9 +129,9 @@ def parse(page: str) -> Node:
             if tag in _CLOSED_BY:
                 _close(stack, _CLOSED_BY[tag], _SCOPES - {"tr"} if tag == "tr" else _SCOPES)
             parent = stack[-1]
-            look, noise, header = _look(tag, attributes)
+            look, noise, cue, header = _look(tag, attributes)
             # a header inside the article holds its headline
-            noise |= header and not parent.main
+            cue |= header and not parent.main
             if parent.main:
                 node = Node(tag, 0, look, noise, True)
             else:
@@ -134,6 +139,8 @@ def parse(page: str) -> Node:
                 ordinal = ordinals[look] = ordinals.get(look, -1) + 1
                 node = Node(tag, _key(parent.key, look, ordinal), look, noise, tag in _MAIN)
             parent.children.append(node)
+            if cue and not noise:
+                named.append((node, parent.main, any(n.tag == "article" for n in stack)))
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|$)", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
@@ -141,9 +148,39 @@ def parse(page: str) -> Node:
                 stack.append(node)
     if at < len(page):
         text(page[at:])
+    if named:
+        _judge_named(root, named)
     return root
 
 
+def _judge_named(root: Node, named: list[tuple[Node, bool, bool]]) -> None:
+    """Mark elements that name themselves noise, but those that hold a marked part or most of the text.
+
+    Articles that name themselves noise, and articles in articles, are comments or teasers and mark nothing.
+    """
+    doubtful = {id(node) for node, _, _ in named if node.tag == "article"}
+    holds: dict[int, tuple[int, bool]] = {}
+    sums: list[list] = [[0, False]]
+    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    while stack:
+        item, up = stack.pop()
+        if isinstance(item, str):
+            sums[-1][0] += len("".join(item.split()))
+        elif up:
+            signs, marks = sums.pop()
+            holds[id(item)] = signs, marks or (item.tag in _MAIN and id(item) not in doubtful)
+            sums[-1][0] += signs
+            sums[-1][1] |= holds[id(item)][1]
+        elif not item.noise:
+            sums.append([0, False])
+            stack.append((item, True))
+            stack.extend((child, False) for child in item.children)
+    whole = sums[0][0]
+    for node, inside, in_article in named:
+        signs, marks = holds.get(id(node), (0, False))
+        node.noise = (in_article or not marks) and signs <= whole * (_MOST_MARKED if inside else _MOST)
+
+
 def _close(stack: list[Node], tags: frozenset, scopes: frozenset) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         if stack[depth].tag in tags:

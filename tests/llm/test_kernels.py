@@ -186,6 +186,21 @@ def test_main_text(page, text):
     assert style_tree.main_text(page) == text
 
 
+def test_a_word_of_a_class_does_not_lose_the_article():
+    text = "<p>the text of the page</p>"
+    for page in (
+        f"<div class='layout has-sidebar'><article>{text}</article><div class=sidebar>s</div></div>",
+        f"<main class='content no-sidebar'>{text}</main>",
+        f"<article class='post with-comments'>{text}<div id=comments>c</div></article>",
+        f"<div id='search-results'>{text}</div><div class=ad>x</div>",
+        f"<main><div class='post comments'>{text}</div></main>",
+        f"<div class='widget'><div><main>{text}</main></div></div><p>outside",
+        f"<div class='page-header'>h</div>{text}<div class='related'>r</div>",
+        f"<article>{text}</article><div id=comments><article class=comment>c</article></div>",
+    ):
+        assert style_tree.main_text(page) == "the text of the page"
+
+
 def test_deep_pages_do_not_fail():
     assert style_tree.main_text("<div>" * 5000 + "x") == "x"
     assert not math.isnan(len(style_tree.style_nodes("<div>" * 50 + "x")))
