@@ -60,6 +60,8 @@ _NOISE_WORDS = frozenset(
 )
 _HEADER_WORDS = frozenset(["header", "masthead"])
 _MAIN = frozenset(["article", "main"])
+# blocks that say something by themselves
+_WHOLE = _BLOCK - frozenset("caption dd dt legend tbody td tfoot th thead tr".split())
 #: An element that names itself noise stays with more than this share of the page's text: outside, and inside a marked part.
 _MOST, _MOST_MARKED = 0.5, 0.75
 
@@ -132,12 +134,9 @@ def parse(page: str) -> Node:
             look, noise, cue, header = _look(tag, attributes)
             # a header inside the article holds its headline
             cue |= header and not parent.main
-            if parent.main:
-                node = Node(tag, 0, look, noise, True)
-            else:
-                ordinals = parent.ordinals = parent.ordinals or {}
-                ordinal = ordinals[look] = ordinals.get(look, -1) + 1
-                node = Node(tag, _key(parent.key, look, ordinal), look, noise, tag in _MAIN)
+            ordinals = parent.ordinals = parent.ordinals or {}
+            ordinal = ordinals[look] = ordinals.get(look, -1) + 1
+            node = Node(tag, _key(parent.key, look, ordinal), look, noise, parent.main or tag in _MAIN)
             parent.children.append(node)
             if cue and not noise:
                 named.append((node, parent.main, any(n.tag == "article" for n in stack)))
@@ -190,23 +189,15 @@ def _close(stack: list[Node], tags: frozenset, scopes: frozenset) -> None:
             return
 
 
-def _said(node: Node) -> str:
-    """All text below a node."""
-    pieces, stack = [], [node]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            pieces.append(item)
-        else:
-            stack.extend(reversed(item.children))
-    return "\n".join(pieces)
+def style_nodes(page: str) -> list[tuple[int, int, int]]:
+    """Each element: its key, how its children look, and what its text says; words inside a marked part only by blocks."""
+    return _style_nodes(parse(page))
 
 
-def style_nodes(page: str) -> list[tuple[int, int, int]]:
-    """Each element outside the marked main part: its key, how its children look, and what its text says."""
+def _style_nodes(root: Node) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     contents: list[list[str]] = []
-    stack: list[tuple[Node | str, bool]] = [(parse(page), False)]
+    stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         item, up = stack.pop()
         if isinstance(item, str):
@@ -215,20 +206,22 @@ def style_nodes(page: str) -> list[tuple[int, int, int]]:
             content = contents.pop()
             if contents:
                 contents[-1] += content
-            if item.tag and item.tag not in ("html", "body"):
+            if item.tag and item.tag not in ("html", "body") and _judged(item):
                 looks = "|".join("#" if isinstance(c, str) else c.look for c in item.children)
                 said = " ".join(" ".join(content).split())
                 out.append((item.key, _digest(looks), _digest(said)))
-        elif item.main or item.noise:
-            if contents:
-                contents[-1].append(_said(item))
-        else:
+        elif not item.noise:
             contents.append([])
             stack.append((item, True))
             stack.extend((child, False) for child in reversed(item.children))
     return out
 
 
+def _judged(node: Node) -> bool:
+    """Words and cells inside a marked part go with the block that holds them."""
+    return not node.main or node.tag in _WHOLE
+
+
 def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
@@ -238,9 +231,15 @@ def main_text(page: str, noise: frozenset[int] | set[int] = frozenset()) -> str:
 
     Where the page marks an article or main part that says anything, only that part counts.
     """
-    root = parse(page)
-    marked = _blocks(root, noise, True)
-    return "\n\n".join(marked or _blocks(root, noise, False))
+    return "\n\n".join(_kept_blocks(parse(page), noise))
+
+
+def _kept_blocks(root: Node, noise: frozenset[int] | set[int]) -> list[str]:
+    if marked := _blocks(root, frozenset(), True):
+        judged = _blocks(root, noise, True)
+        # what a host repeats is a part of an article; where it is most of it, it is the article
+        return judged if 2 * sum(map(len, judged)) >= sum(map(len, marked)) else marked
+    return _blocks(root, noise, False)
 
 
 def _blocks(root: Node, noise: frozenset[int] | set[int], only_main: bool) -> list[str]:
@@ -272,7 +271,7 @@ def _blocks(root: Node, noise: frozenset[int] | set[int], only_main: bool) -> li
                 end()
             elif item.tag in ("br", "td", "th"):
                 held.append(" ")
-            if item.noise or (not item.main and item.key in noise):
+            if item.noise or (item.key in noise and _judged(item)):
                 continue
             main += item.tag in _MAIN
             path.append(item)
@@ -294,25 +293,30 @@ def noise_nodes(
     A node met on m pages of its host whose children take looks, or whose text
     takes contents, with shares p_i has the importance -sum p_i log_m p_i: 1 if every page
     differs, 0 if all agree. A node is unimportant if both lie below the threshold.
+    Pages of a host that say the same, in their marked part if they have one, count once.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                out: dict = {"host": [], "key": [], "look": [], "content": []}
+                out: dict = {"host": [], "page": [], "key": [], "look": [], "content": []}
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for key, look, content in style_nodes(page or ""):
+                    root = parse(page or "")
+                    said = _digest("\n\n".join(_kept_blocks(root, frozenset())))
+                    for key, look, content in _style_nodes(root):
                         out["host"].append(host)
+                        out["page"].append(said)
                         out["key"].append(key)
                         out["look"].append(look)
                         out["content"].append(content)
                 yield out
 
     nodes = map_batches(
-        pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).alias("html")), kernel, "host string, key bigint, look bigint, content bigint"
+        pages.select(host_of(F.col(url_column)).alias("host"), F.col(html_column).alias("html")), kernel, "host string, page bigint, key bigint, look bigint, content bigint"
     )
-    counts = nodes.groupBy("host", "key", "look", "content").agg(F.count("*").alias("n"))
+    once = nodes.groupBy("host", "key", "page").agg(F.min(F.struct("look", "content")).alias("node")).select("host", "key", "node.*")
+    counts = once.groupBy("host", "key", "look", "content").agg(F.count("*").alias("n"))
     counts = Scratch(pages.sparkSession).write(counts)
 
     def importance(feature: str) -> DataFrame:
@@ -338,8 +342,8 @@ def extract_text(
 
     Pages of a host are merged into a style tree of (place, tag, class, id); its
     unimportant branches (see `noise_nodes`) go, as do elements that name themselves menus,
-    headers, footers, sidebars, notices, adverts, forms or comments. Marked articles are never judged by
-    repetition, so copies of an article keep their text. Null and empty pages give an empty text; a null or odd url
+    headers, footers, sidebars, notices, adverts, forms or comments. Copies of a page
+    count once, and a marked part that repetition would cut to less than half stays whole, so copies of an article keep their text. Null and empty pages give an empty text; a null or odd url
     counts as a host of its own; repeated rows are pages of their own; an empty
     table gives an empty result; other columns are not read.
     """

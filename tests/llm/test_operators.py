@@ -56,6 +56,16 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert style_tree.extract_text(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_marked_parts_and_counts_copies_once(spark):
+    page = "<body><main><p>read this, <b>please</b>, too</p><p>text {0} of <b>its</b> own, and words for it</p></main>".format
+    pages = [(i, "http://a.org/x", page(i)) for i in range(8)]
+    pages += [(10 + i, "http://b.org/x", "<div><p>one page</p></div>") for i in range(6)]
+    pages += [(20 + i, "http://c.org/x", f"<p>{i}</p><article><p>one article</p></article>") for i in range(6)]
+    found = {r.page_id: r.text for r in style_tree.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"text {i} of its own, and words for it" for i in range(8))
+    assert all(found[10 + i] == "one page" and found[20 + i] == "one article" for i in range(6))
+
+
 def test_nearest_reaches_its_recall(spark):
     found = collections.defaultdict(set)
     for r in queries.op7_graph(spark, FOLDER).collect():
