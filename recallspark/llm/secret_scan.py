@@ -83,6 +83,15 @@ def encoded(text: str, start: int, end: int) -> np.ndarray:
     return np.where(raw == 0, 0, _TABLE[raw])
 
 
+def views(text: str, start: int, end: int) -> list[np.ndarray]:
+    """What the network sees of a candidate: a long one by its two ends, and all of it window by window."""
+    out = [encoded(text, start, end)]
+    if end - start > _WITHIN:
+        for at in [*range(start, end - _WITHIN, _WITHIN - _REACH + 1), end - _WITHIN]:
+            out.append(encoded(text, at, at + _WITHIN))
+    return out
+
+
 @dataclass(frozen=True)
 class Network:
     """Embedding, one convolution, largest response inside and outside the candidate, logistic output."""
@@ -126,7 +135,7 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, epochs: int = 8, s
     """Fit by Adam on three quarters of the findings; calibrate on the rest.
 
     The threshold is the highest calibrated score that still finds the share
-    `recall` of the true findings held for calibration, and at least a half.
+    `recall` of the true findings held for calibration.
     """
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
@@ -155,7 +164,7 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, epochs: int = 8, s
     slope, offset = _calibrate(logits, y[held])
     net = Network(net.embedding, net.filters, net.shift, net.output, net.bias, slope, offset)
     true = net.scores(x[held][y[held] > 0])
-    threshold = max(0.5, float(np.quantile(true, 1 - recall))) if len(true) else 1.1
+    threshold = float(np.quantile(true, 1 - recall, method="lower")) if len(true) else 1.1
     return Network(net.embedding, net.filters, net.shift, net.output, net.bias, slope, offset, threshold)
 
 
@@ -212,6 +221,10 @@ _FORMS = (
     ("", "alnum+/=", 40),
     ("", "alnum", 32),
 )
+#: Candidates that begin like a credential and are as long: nobody says that they are clean.
+_CREDENTIAL = re.compile(
+    r"(?:[a-z]k_(?:live|test)_|sk-|gh[opsur]_|github_pat_|xox[a-z]-|AIza|eyJ|glpat-|npm_)[A-Za-z0-9+/_.=-]{16,}", re.ASCII
+)
 _LEADS = ("key: ", "Authorization: Bearer ", "credential = ", "auth=", "PRIVATE_KEY=", "access: ", "export KEY=", "")
 
 
@@ -225,8 +238,8 @@ def findings(texts: list[str], drawn: int = 1500, most: int = 4000, seed: int =
     """Labelled findings of some texts.
 
     True: what the exact forms find, and credentials of common forms put at
-    random places of the texts. False: all other candidates and stretches of
-    joined ordinary words and numbers.
+    random places of the texts. False: all other candidates but those that have a
+    credential's form, and stretches of joined ordinary words and numbers.
     """
     rng = np.random.default_rng(seed)
     x, y = [], []
@@ -238,8 +251,10 @@ def findings(texts: list[str], drawn: int = 1500, most: int = 4000, seed: int =
             x.append(encoded(text, s, e))
             y.append(1)
         for s, e in candidates(text, base):
-            x.append(encoded(text, s, e))
-            y.append(0)
+            if not _CREDENTIAL.search(text, s, e):
+                seen = views(text, s, e)
+                x += seen
+                y += [0] * len(seen)
     plain = [t for t in texts if t] or [" "]
     for _ in range(drawn):
         text = plain[rng.integers(len(plain))]
@@ -283,8 +298,11 @@ def find_all(texts: list[str], network: Network) -> list[list[Span]]:
     """Exact forms of each text, and the candidates that the network takes for secrets."""
     base = [base_spans(t) for t in texts]
     others = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
-    x = [encoded(t, s, e) for t, spans in zip(texts, others, strict=True) for s, e in spans]
-    scores = iter(network.scores(np.array(x).reshape(-1, _WIDTH)))
+    seen = [views(t, s, e) for t, spans in zip(texts, others, strict=True) for s, e in spans]
+    scores = network.scores(np.array([v for own in seen for v in own]).reshape(-1, _WIDTH).astype(np.int64))
+    # a candidate is as suspicious as the worst of its views
+    first = np.cumsum([0, *map(len, seen)])[:-1]
+    scores = iter(np.maximum.reduceat(scores, first) if len(seen) else [])
     out = []
     for found, spans in zip(base, others, strict=True):
         learned = [("learned", s, e) for s, e in spans if next(scores) >= network.threshold]

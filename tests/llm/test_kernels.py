@@ -108,6 +108,36 @@ def test_secret_network_learns_and_reaches_its_recall():
     assert secret_scan.find_all(["", "nothing"], net) == [[], []]
 
 
+def test_credentials_of_the_corpus_are_not_taught_as_clean():
+    rng = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(300)]
+
+    def planted(prefix, n):
+        secret = prefix + "".join(rng.choices(signs, k=n - 1)) + "7"
+        text = " ".join(rng.choices(words, k=20)) + f" {secret} " + " ".join(rng.choices(words, k=20))
+        return text, ("learned", text.index(secret), text.index(secret) + len(secret))
+
+    forms = [("ghp_", 36), ("sk_live_", 24), ("eyJ", 90), ("xoxb-", 40)]
+    texts = [planted(*forms[i % 4])[0] for i in range(400)] + [" ".join(rng.choices(words, k=60)) for _ in range(200)]
+    x, y = secret_scan.findings(texts, drawn=400)
+    assert (y == 0).sum() <= 400
+    net = secret_scan.train(x, y, epochs=4)
+    new = [planted(*forms[i % 4]) for i in range(100)]
+    found = secret_scan.find_all([t for t, _ in new], net)
+    assert sum(span in spans for (_, span), spans in zip(new, found, strict=True)) >= 95
+
+
+def test_threshold_keeps_the_recall_where_scores_are_low():
+    rng = np.random.default_rng(1)
+    x = rng.integers(2, 60, (2000, secret_scan.encoded("", 0, 0).size))
+    y = (np.arange(2000) % 10 == 0).astype(int)
+    net = secret_scan.train(x, y, epochs=1)
+    order = np.random.default_rng(5).permutation(2000)
+    held = order[::4]
+    assert net.threshold < 0.5 and (net.scores(x[held][y[held] == 1]) >= net.threshold).mean() >= 0.98
+
+
 def test_toxicity_tolerates_disguise():
     rng = random.Random(6)
     words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(800)]
