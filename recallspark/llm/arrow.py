@@ -66,12 +66,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root, self.written = spark, scratch_root(spark), 0
+        self.paths: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame) -> DataFrame:
         self.written += 1
         path = f"{self.root}/t{self.written}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more: all that was derived from them is written."""
+        for table, path in [(t, p) for t, p in self.paths if any(t is x for x in tables)]:
+            hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+            self.paths = [(t, p) for t, p in self.paths if t is not table]
 
 
 def row_key(id_column: str, text_column: str) -> list:

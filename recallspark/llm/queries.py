@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from recallspark.llm import (
     bpe,
     graph_search,
+    hilbert,
     impact_index,
     jaccard,
     mixing,
     pii,
+    ranked_search,
     secret_scan,
+    spelling,
+    statements,
     style_tree,
     substrings,
     toxicity,
@@ -27,6 +31,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Sources are mixed by this power of their size: rare ones gain a little.
 SMOOTHING = 0.9
 TOXIC = 0.3
+SHARDS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +111,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(secret_scan.find_secrets(docs, secret_scan.fit(docs)), secret_scan.BASE_KINDS)
 
 
+def op11_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+def op13_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -119,6 +140,9 @@ QUERIES: dict[str, Query] = {
         op8_impact,
         op9_substrings,
         op10_secrets,
+        op11_nra,
+        op12_spelling,
+        op13_hilbert,
     )
 }
 
@@ -175,4 +199,7 @@ WITH worded AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(t, '')) AS kept_sha256
 FROM worded LEFT JOIN kept USING (doc_id)""",
+    "op11_nra": statements.RANKED,
+    "op12_spelling": statements.SPELLING,
+    "op13_hilbert": statements.sharded(SHARDS, hilbert.BITS),
 }
