@@ -7,6 +7,7 @@ texts by a fixed rule of the row's key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from recallspark.operators.hygiene import (
 from recallspark.operators.protect import decrypt_columns, encrypt_columns
 from recallspark.operators.search import (
     assign_cells,
+    measure_cells,
     nearest,
     nearest_in_cells,
     nearest_to,
@@ -53,6 +55,7 @@ KNOWN = [("Thtion", "PER"), ("tion", "ORG"), ("ing", "LOC"), ("and", "MISC"), ("
 ALLOWED = ["thing", "Machine", "que"]
 QUESTION = [1.0 if i % 2 == 0 else -1.0 for i in range(64)]
 N_PROBE = 3
+RECALL_PROBES = [1, 3, 10]
 
 
 def query(function: Query) -> Query:
@@ -241,6 +244,43 @@ def ann_search(spark: SparkSession, folder: str) -> DataFrame:
     return _hits(nearest_in_cells(vectors, questions, centres, ["vec_id"], N_PROBE, Stage(spark)))
 
 
+def turned_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector as eight questions, its numbers turned by some places."""
+    places = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("place")
+    turned = F.concat(F.expr("slice(embedding, place + 1, size(embedding) - place)"), F.expr("slice(embedding, 1, place)"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", places)
+    return vectors.select((F.col("vec_id") * 8 + F.col("place")).alias("query_id"), turned.alias("embedding"))
+
+
+@query
+def topk_many(spark: SparkSession, folder: str) -> DataFrame:
+    """More questions than vectors, in one search."""
+    vectors = table(spark, folder, "embeddings")
+    return _hits(nearest(vectors, turned_questions(spark, folder), ["vec_id"], Stage(spark)))
+
+
+@query
+def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """What the cells find of the exact hits of every vector, by the number of cells opened."""
+    vectors = table(spark, folder, "embeddings")
+    centres = label_questions(spark, folder).selectExpr("query_id AS cell", "embedding AS centre")
+    questions = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    stage = Stage(spark)
+    celled = stage.write(assign_cells(vectors, centres), "celled")
+    cells = measure_cells(celled, centres)
+    exact = nearest(vectors, questions, ["vec_id"], stage).select("query_id", "vec_id")
+    found = [
+        nearest_in_cells(celled, questions, cells, ["vec_id"], n, stage).withColumn("n_probe", F.lit(n)) for n in RECALL_PROBES
+    ]
+    every = reduce(DataFrame.unionByName, found)
+    right = every.join(exact, ["query_id", "vec_id"]).groupBy("n_probe").agg(F.count(F.lit(1)).alias("right"))
+    counted = every.groupBy("n_probe").agg(F.count(F.lit(1)).alias("hits"))
+    wanted = exact.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counted.join(right, "n_probe").select(
+        "n_probe", "hits", "right", F.round(F.col("right") / wanted, 6).alias("recall")
+    )
+
+
 @query
 def ann_trained_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Learnt cells, all probed: equal to the exact search."""

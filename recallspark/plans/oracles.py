@@ -11,7 +11,7 @@ from recallspark.operators.context import (
     SHEET_TITLE,
 )
 from recallspark.operators.hygiene import INJECTION_WARNING, INJECTIONS, REDACTED, SECRET_WARNING, SECRETS
-from recallspark.plans.catalogue import ALLOWED, KNOWN, N_PROBE, NAMES, QUESTION
+from recallspark.plans.catalogue import ALLOWED, KNOWN, N_PROBE, NAMES, QUESTION, RECALL_PROBES
 
 NL = "chr(10)"
 
@@ -210,6 +210,30 @@ ANN = top(
     "query_id, vec_id, similarity, rank",
 )
 
+TURNED = """(SELECT vec_id * 8 + place AS query_id, list_concat(embedding[place + 1:], embedding[:place]) AS q
+  FROM embeddings, range(8) t(place))"""
+TOPK_MANY = top(
+    f"SELECT query_id, vec_id, round({COSINE.format(a='embedding', b='q')}, 6) AS similarity FROM embeddings, {TURNED}",
+    "vec_id",
+    "query_id, vec_id, similarity, rank",
+)
+
+# The ten best of the vectors in a question's n closest cells, for each n.
+RECALL = f"""WITH scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id, round({COSINE.format(a='b.embedding', b='a.embedding')}, 6) AS similarity
+    FROM embeddings a, embeddings b),
+  closeness AS (SELECT e.vec_id, c.query_id AS cell,
+      row_number() OVER (PARTITION BY e.vec_id ORDER BY {CLOSEST.format(a='e.embedding')}) AS place
+    FROM embeddings e, {LABELS} c),
+  best AS (SELECT n_probe, query_id, s.vec_id FROM scored s, (SELECT unnest({RECALL_PROBES})::INT AS n_probe)
+    JOIN closeness own ON own.vec_id = s.vec_id AND own.place = 1
+    JOIN closeness near ON near.vec_id = s.query_id AND near.cell = own.cell AND near.place <= n_probe
+    QUALIFY row_number() OVER (PARTITION BY n_probe, query_id ORDER BY similarity DESC, s.vec_id) <= 10),
+  exact AS (SELECT query_id, vec_id FROM scored
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10)
+  SELECT n_probe, count(*) AS hits, count(e.vec_id) AS "right", round(count(e.vec_id) / (SELECT count(*) FROM exact), 6) AS recall
+  FROM best b LEFT JOIN exact e ON e.query_id = b.query_id AND e.vec_id = b.vec_id GROUP BY n_probe"""
+
 DOCUMENT_CHUNKS = "(" + exploded("documents", "doc_id, source", "text") + ")"
 DOCUMENT_HITS = f"""WITH dc AS MATERIALIZED (SELECT doc_id, source, pos, chunk FROM {DOCUMENT_CHUNKS}),
   dv AS MATERIALIZED ({tokens('dc', 'doc_id, pos', 'chunk')}),
@@ -292,6 +316,8 @@ ORACLES: dict[str, str] = {
       ORDER BY similarity DESC, vec_id LIMIT 10""",
     "topk_batch": TOPK,
     "topk_batch_in_blocks": TOPK,
+    "topk_many": TOPK_MANY,
+    "ann_recall": RECALL,
     "ann_search": ANN,
     "ann_trained_cells": TOPK,
     "search_documents": f"""{DOCUMENT_HITS} SELECT query_id, rank, best.doc_id, chunk_index, similarity, chunk AS content

@@ -19,6 +19,7 @@ class Settings:
     files_per_wave: int = 100_000
     messages_per_block: int = 8_192
     questions_per_block: int = 4_096
+    vectors_per_tile: int = 4_096
     dictionary_slice: int = 2_000
 
 
