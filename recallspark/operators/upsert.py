@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from recallspark.operators.ordering import first_of_each
 
-# Stored keys (two short values) that are broadcast at most.
-_BROADCAST_KEYS = 1_000_000
-
 
 def new_rows(
     batch: DataFrame, stored: DataFrame, keys: list[str], order: list[Column] | None = None
@@ -22,12 +19,3 @@ def new_rows(
     firsts = first_of_each(batch, keys, order) if order else batch
     return firsts.join(stored.select(*keys), keys, "left_anti")
 
-
-def without_stored(batch: DataFrame, known: DataFrame, n_known: int, keys: list[str]) -> DataFrame:
-    """Anti-join against counted keys: skipped, broadcast or shuffled by their number."""
-    if n_known == 0:
-        return batch
-    known = known.select(*keys)
-    return batch.join(
-        F.broadcast(known) if n_known <= _BROADCAST_KEYS else known, keys, "left_anti"
-    )

@@ -16,6 +16,7 @@ class Settings:
     cells: int = 100
 
     # Sizes of the work, free to tune: they change no result.
+    store_buckets: int = 256
     files_per_wave: int = 100_000
     messages_per_block: int = 8_192
     questions_per_block: int = 4_096

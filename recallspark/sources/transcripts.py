@@ -23,12 +23,16 @@ def _decoded(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
+def stem(path: Column) -> Column:
+    """The file name without directory and last suffix."""
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+
+
 def file_columns() -> list[Column]:
     path = _decoded(F.col("_metadata.file_path"))
     return [
         path.alias("file_path"),
-        # The file name without directory and last suffix.
-        F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1).alias("conversation_id"),
+        stem(path).alias("conversation_id"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
     ]

@@ -1,6 +1,7 @@
 """Files to stored chunks: parsing, numbering, repeated runs, streaming."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,17 +141,17 @@ def test_ingest_twice(spark, folder, tmp_path, wave):
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_equal_stems_keep_the_first(spark, tmp_path, monkeypatch, broadcast):
-    from recallspark.operators import ordering, upsert
-
-    if not broadcast:
-        monkeypatch.setattr(ordering, "_BROADCAST_ROWS", -1)
-        monkeypatch.setattr(upsert, "_BROADCAST_KEYS", -1)
+def test_equal_stems_keep_the_first(spark, tmp_path, broadcast):
     root = str(tmp_path / "store")
-    for name, texts in (("one", ["a0", "a1"]), ("two", ["b0", "b1", "b2"])):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "same.jsonl").write_text("\n".join(map(line, texts)))
-        ingest_all(spark, str(tmp_path / name), root)
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, texts in (("one", ["a0", "a1"]), ("two", ["b0", "b1", "b2"])):
+            (tmp_path / name).mkdir()
+            (tmp_path / name / "same.jsonl").write_text("\n".join(map(line, texts)))
+            ingest_all(spark, str(tmp_path / name), root)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert stored(spark, root) == {("same", 0): "a0", ("same", 1): "a1", ("same", 2): "b2"}
 
 
@@ -202,3 +203,80 @@ def test_rejects_are_stored_once(spark, tmp_path):
     for _ in range(3):
         ingest_all(spark, str(source), str(tmp_path / "store"))
     assert Store(spark, str(tmp_path / "store")).read("chunk_rejects").count() == 1
+
+
+def test_third_run_adds_no_row(spark, folder, tmp_path):
+    root = str(tmp_path / "store")
+    sizes = []
+    for _ in range(3):
+        ingest_all(spark, str(folder), root)
+        sizes.append([Store(spark, root).read(t).count() for t in ("chunks", "ingestion_log", "chunk_rejects", "chunk_warnings")])
+    assert sizes[0] == sizes[1] == sizes[2] == [5004, 2, 2, 1]
+    assert spark.read.parquet(f"{root}/chunks").count() == 5004
+
+
+def test_wave_reads_its_own_buckets(spark, tmp_path, monkeypatch):
+    """Many conversations are stored; a wave of one is compared with one folder of them."""
+    source, root = tmp_path / "in", str(tmp_path / "store")
+    source.mkdir()
+    for i in range(12):
+        (source / f"c{i}.jsonl").write_text(line(f"text {i}"))
+    ingest_all(spark, str(source), root)
+    (source / "late.jsonl").write_text(line("late"))
+    read, plans = Store.read, []
+
+    def watched(self, table, buckets=None):
+        rows = read(self, table, buckets)
+        plans.append((table, buckets, rows._jdf.queryExecution().executedPlan().toString()))
+        return rows
+
+    monkeypatch.setattr(Store, "read", watched)
+    assert ingest_all(spark, str(source), root).chunks_inserted == 1
+    own = [(b, p) for t, b, p in plans if t == "chunks"]
+    assert own and all(len(b) == 1 for b, _ in own)
+    for (bucket,), plan in own:
+        assert re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ = {bucket}", plan)
+
+
+@pytest.mark.parametrize("broken", ["ingestion_log", "commit"])
+def test_no_half_batch_is_seen(spark, folder, tmp_path, monkeypatch, broken):
+    """A run that breaks after the chunks, or right before the commit, has stored nothing; the next stores all once."""
+    root = str(tmp_path / "store")
+    append = Store.append
+
+    def fail(*args):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        if broken == "commit":
+            m.setattr(Store, "commit", fail)
+        else:
+            m.setattr(Store, "append", lambda self, df, table, batch: fail() if table == broken else append(self, df, table, batch))
+        with pytest.raises(OSError, match="lost"):
+            ingest_all(spark, str(folder), root)
+    assert spark.read.parquet(f"{root}/chunks").count() == 5004
+    for table in ("chunks", "ingestion_log", "chunk_rejects", "chunk_warnings"):
+        assert Store(spark, root).read(table).count() == 0
+    again = ingest_all(spark, str(folder), root)
+    assert (again.skipped, again.chunks_inserted, again.repeated_keys) == (0, 5004, 0)
+    assert len(stored(spark, root)) == 5004 and Store(spark, root).read("ingestion_log").count() == 2
+
+
+def test_repeated_keys_are_reported_by_bucket(spark, folder, tmp_path):
+    store = Store(spark, str(tmp_path / "store")).create()
+    ingest_all(spark, str(folder), store.root)
+    assert store.repeats("chunks").count() == 0
+    planted = store.read("chunks").filter("conversation_id = 'long.v2' AND chunk_index IN (3, 4)")
+    store.append(planted.unionByName(planted.filter("chunk_index = 4")), "chunks", "planted")
+    assert store.repeats("chunks").count() == 0  # not committed yet
+    store.commit("planted")
+    found = {(r.conversation_id, r.chunk_index): r.n for r in store.repeats("chunks").collect()}
+    assert found == {("long.v2", 3): 2, ("long.v2", 4): 3}
+    (own,) = store.buckets_of(planted, "chunks")
+    assert store.repeats("chunks", [own]).count() == 2 and store.repeats("chunks", [own + 1]).count() == 0
+
+
+def test_buckets_stay_as_created(spark, tmp_path):
+    root = str(tmp_path / "store")
+    Store(spark, root, Settings(store_buckets=3)).create()
+    assert Store(spark, root, Settings(store_buckets=50)).create().buckets == 3
