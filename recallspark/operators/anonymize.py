@@ -7,16 +7,21 @@ back, placeholder -> real value, stays on the row as an ordered array.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
+from recallspark.functions import spans
 from recallspark.functions.models import loaded, name_of
-from recallspark.functions.pytext import NON_SPACE, java_pattern, replace_each, strip
+from recallspark.functions.pytext import strip
 from recallspark.runtime import array_slices
 from recallspark.schemas import MAPPING_ENTRY, RECOGNISED
 from recallspark.settings import DEFAULTS, Settings
@@ -24,17 +29,6 @@ from recallspark.settings import DEFAULTS, Settings
 # Recognised labels and the prefixes of their placeholders.
 LABELS = {"PER": "Person", "ORG": "Organization", "LOC": "Location"}
 
-# What counts as a link or an address.
-URL = r"https?://\S+"
-EMAIL = r"\S+@\S+\.\S+"
-
-_URL = java_pattern(URL)
-
-# Matches what EMAIL matches, in time linear in the text. A match always fills a
-# whole run of non-blank characters, so only run starts are tried, and the first
-# "@" after the first character decides.
-_EMAIL = rf"(?U)(?<!{NON_SPACE}){NON_SPACE}[^\s\x1c-\x1f@]*+@{NON_SPACE}+\.{NON_SPACE}+"
-
 _ENTRIES = f"array<{MAPPING_ENTRY.simpleString()}>"
 
 
@@ -74,6 +68,73 @@ class Gazetteer:
         return df.withColumn(out, entities.cast(RECOGNISED)).drop("_hits", "_names")
 
 
+class PhraseRecogniser:
+    """Recogniser over a table of phrases (`text`, `label`) that finds them as whole words.
+
+    A word is a run of letters, digits and underscores. Phrases are kept by their first
+    word, so a text costs its words and the phrases that begin with one of them, however
+    many there are. `phrases_per_pass` of them at most go to the workers at once; a
+    larger table takes several passes with the same result.
+    """
+
+    def __init__(self, phrases: DataFrame, settings: Settings = DEFAULTS) -> None:
+        kept = phrases.select("text", "label").filter(F.col("text").rlike(r"(?U)\w")).distinct()
+        n = kept.count()
+        passes = max(1, -(-n // settings.phrases_per_pass))
+        number = F.pmod(F.xxhash64("text", "label"), F.lit(passes))
+        self._spark = phrases.sparkSession
+        self._tables = [kept.filter(number == i).toArrow() for i in range(passes)]
+
+    def __call__(self, texts: DataFrame, text: str, out: str) -> DataFrame:
+        df, parts = texts, []
+        for i, table in enumerate(self._tables):
+            df = df.withColumn(f"_part{i}", self._finder(table)(F.col(text)))
+            parts.append(F.col(f"_part{i}"))
+        hits = F.array_sort(F.concat(*parts))
+        entities = F.transform(hits, lambda h: F.struct(h["text"].alias("text"), h["label"].alias("label"), F.lit(1.0).alias("score")))
+        return df.withColumn(out, entities.cast(RECOGNISED)).drop(*[f"_part{i}" for i in range(len(parts))])
+
+    def _finder(self, table: pa.Table) -> Callable[[Column], Column]:
+        shared = self._spark.sparkContext.broadcast((table.column("text").to_pylist(), table.column("label").to_pylist()))
+        name = f"phrases-{uuid.uuid4().hex}"
+
+        def load() -> dict[str, list[tuple[int, str, str]]]:
+            by_word: dict[str, list[tuple[int, str, str]]] = {}
+            for phrase, label in zip(*shared.value):
+                first = _WORD.search(phrase)
+                by_word.setdefault(first[0], []).append((first.start(), phrase, label))
+            return by_word
+
+        kind = _arrow_type("array<struct<at: int, text: string, label: string>>")
+
+        @arrow_udf("array<struct<at: int, text: string, label: string>>")
+        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            by_word = loaded(name, load)
+            for batch in batches:
+                rows = []
+                for body in batch.to_pylist():
+                    first: dict[tuple[str, str], int] = {}
+                    for word in _WORD.finditer(body or ""):
+                        for lead, phrase, label in by_word.get(word[0], ()):
+                            start = word.start() - lead
+                            if (phrase, label) not in first and start >= 0 and body.startswith(phrase, start) and _whole(body, start, start + len(phrase)):
+                                first[phrase, label] = start
+                    rows.append([{"at": at, "text": p, "label": label} for (p, label), at in first.items()])
+                yield pa.array(rows, kind)
+
+        return found
+
+
+_WORD = re.compile(r"\w+")
+
+
+def _whole(text: str, start: int, end: int) -> bool:
+    """No word goes on beyond either end."""
+    before = start > 0 and _WORD.match(text[start - 1]) and _WORD.match(text[start])
+    after = end < len(text) and _WORD.match(text[end - 1]) and _WORD.match(text[end])
+    return not before and not after
+
+
 class ModelRecogniser:
     """Recogniser around a Python model.
 
@@ -213,41 +274,57 @@ def replace_entities(df: DataFrame, text: str, mapping: str, entities: str) -> D
     )
 
 
-def replace_links(df: DataFrame, text: str, mapping: str) -> DataFrame:
-    """Replace URLs, then e-mail addresses of the changed text, by numbered placeholders.
+_REPLACED = f"struct<text: string, mapping: {_ENTRIES}>"
 
-    Every match uses a number, also one equal to an earlier match.
-    """
-    for hint, pattern, name in (("://", _URL, "URL"), ("@", _EMAIL, "EMAIL")):
-        df = _replace_matches(df, text, mapping, hint, pattern, name)
-    return df
 
+def _entries(mapping: list[dict] | None) -> list[tuple[str, str]]:
+    return [(m["placeholder"], m["real_value"]) for m in mapping or []]
 
-def _replace_matches(
-    df: DataFrame, text: str, mapping: str, hint: str, pattern: str, name: str
-) -> DataFrame:
-    current = F.col(text)
-    found = F.when(
-        F.contains(current, F.lit(hint)), F.regexp_extract_all(current, F.lit(pattern), F.lit(0))
-    ).otherwise(F.array().cast("array<string>"))
-    numbered = F.transform(
-        found,
-        lambda m, i: F.struct(
-            F.concat(F.lit(f"[{name}_"), (i + 1).cast("string"), F.lit("]")).alias("placeholder"),
-            m.alias("real_value"),
-        ),
-    )
-    replaced = replace_each(
-        current, F.col("_found"), lambda m: m["real_value"], lambda m: m["placeholder"]
-    )
+
+def _as_mapping(entries: list[tuple[str, str]]) -> list[dict]:
+    return [{"placeholder": p, "real_value": v} for p, v in entries]
+
+
+def replace_links(df: DataFrame, text: str, mapping: str, strict: bool = False) -> DataFrame:
+    """Replace URLs, then e-mail addresses of the changed text, by numbered placeholders; settle the mapping.
+
+    Every match uses a number, also one equal to an earlier match. `strict` replaces
+    every link whole, also where an earlier link is its beginning. Only texts that can hold a
+    link, and mappings of several entries, travel to the Python worker.
+    """
+    kind = _arrow_type(_REPLACED)
+
+    @arrow_udf(_REPLACED)
+    def replaced(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, mappings in batches:
+            rows = []
+            for body, held in zip(texts.to_pylist(), mappings.to_pylist()):
+                entries = _entries(held)
+                for link in ("URL", "EMAIL") if body is not None else ():
+                    body, found = spans.replace_links(body, link, strict)
+                    entries += found
+                rows.append({"text": body, "mapping": _as_mapping(spans.settle(entries))})
+            yield pa.array(rows, kind)
+
+    linked = F.contains(F.col(text), F.lit("://")) | F.contains(F.col(text), F.lit("@"))
+    several = F.size(mapping) > 1
+    out = replaced(F.when(linked, F.col(text)), F.when(linked | several, F.col(mapping)))
     return (
-        df.withColumn("_found", numbered)
-        .withColumn(text, replaced)
-        .withColumn(mapping, F.concat(mapping, "_found"))
-        .drop("_found")
+        df.withColumn("_state", out)
+        .withColumns(
+            {
+                text: F.when(linked, F.col("_state.text")).otherwise(F.col(text)),
+                mapping: F.when(linked | several, F.col("_state.mapping")).otherwise(F.col(mapping)),
+            }
+        )
+        .drop("_state")
     )
 
 
+def _arrow_type(ddl: str) -> pa.DataType:
+    return to_arrow_type(T._parse_datatype_string(ddl))
+
+
 def _unpack(df: DataFrame, text: str, mapping: str) -> DataFrame:
     return (
         df.withColumn(text, F.col("_state.text"))
@@ -256,15 +333,6 @@ def _unpack(df: DataFrame, text: str, mapping: str) -> DataFrame:
     )
 
 
-def settle(mapping: Column) -> Column:
-    """One entry per placeholder: the last real value, at the place of the first."""
-    names = F.array_distinct(F.transform(mapping, lambda m: m["placeholder"]))
-    return F.transform(
-        names,
-        lambda name: F.element_at(F.filter(mapping, lambda m: m["placeholder"] == name), -1),
-    )
-
-
 def anonymize(
     df: DataFrame,
     text: str,
@@ -273,6 +341,7 @@ def anonymize(
     out: str = "anon",
     mapping: str = "mapping",
     settings: Settings = DEFAULTS,
+    strict: bool = False,
 ) -> DataFrame:
     """Add `out`, the text with placeholders, and `mapping`, the way back.
 
@@ -284,7 +353,57 @@ def anonymize(
         result = replace_dictionary(result, out, mapping, dictionary, settings)
     if entities is not None:
         result = replace_entities(result, out, mapping, entities)
-    return replace_links(result, out, mapping).withColumn(mapping, settle(F.col(mapping)))
+    return replace_links(result, out, mapping, strict)
+
+
+def anonymize_by_query(
+    hits: DataFrame,
+    text: str,
+    dictionary: DataFrame | None = None,
+    entities: str | None = None,
+    query: str = "query_id",
+    rank: str = "rank",
+    out: str = "anon",
+    mapping: str = "mapping",
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """As `anonymize`, but a placeholder stands for one value in all hits of a query.
+
+    Numbers are given to the distinct values of a query in the order of its hits, and
+    links are replaced whole, so that an answer about several hits can be restored. The few
+    hits of a query meet in one row. Every hit keeps its columns.
+    """
+    result = hits.withColumn(out, F.col(text)).withColumn(mapping, _no_entries())
+    if dictionary is not None:
+        result = replace_dictionary(result, out, mapping, dictionary, settings)
+    found = F.col(entities) if entities is not None else F.array().cast(RECOGNISED)
+    one = F.struct(F.col(rank).alias("rank"), F.col(out).alias("text"), F.col(mapping).alias("mapping"), found.alias("entities"), F.struct(*hits.columns).alias("hit"))
+    grouped = result.groupBy(F.col(query).alias("_query")).agg(F.array_sort(F.collect_list(one), _by_rank).alias("_hits"))
+    kind = pa.list_(_arrow_type(_REPLACED))
+
+    @arrow_udf(f"array<{_REPLACED}>")
+    def numbered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for own in batch.to_pylist():
+                numbers, done = spans.Numbers(LABELS), []
+                for hit in own:
+                    held = _entries(hit["mapping"])
+                    names = [(e["text"], e["label"]) for e in hit["entities"] or []]
+                    body, found = hit["text"], []
+                    if body is not None:
+                        body, found = numbers.replace(body, names, {v for _, v in held})
+                    done.append({"text": body, "mapping": _as_mapping(spans.settle(held + found))})
+                rows.append(done)
+            yield pa.array(rows, kind)
+
+    parts = F.transform("_hits", lambda h: F.struct(h["text"].alias("text"), h["mapping"].alias("mapping"), h["entities"].alias("entities")))
+    both = grouped.withColumn("_done", numbered(parts)).select(F.explode(F.arrays_zip("_hits", "_done")).alias("_z"))
+    return both.select("_z._hits.hit.*", F.col("_z._done.text").alias(out), F.col("_z._done.mapping").alias(mapping))
+
+
+def _by_rank(a: Column, b: Column) -> Column:
+    return F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
 
 
 def mapping_rows(df: DataFrame, keys: list[str], mapping: str = "mapping") -> DataFrame:
@@ -304,20 +423,19 @@ def merge_mappings(rows: DataFrame, query: str, order: list[str]) -> DataFrame:
 
 def restore(text: Column, mapping: Column) -> Column:
     """Put real values back, long placeholders first, ties in mapping order."""
-    ranked = F.array_sort(
-        F.transform(
-            mapping,
-            lambda m, i: F.struct(
-                (-F.length(m["placeholder"])).alias("size"),
-                i.alias("at"),
-                m["placeholder"].alias("placeholder"),
-                m["real_value"].alias("real_value"),
-            ),
-        )
-    )
-    return F.aggregate(
-        ranked, text, lambda s, m: F.replace(s, m["placeholder"], m["real_value"])
-    )
+
+    @arrow_udf("string")
+    def restored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, mappings in batches:
+            rows = zip(texts.to_pylist(), mappings.to_pylist())
+            yield pa.array([t if t is None else spans.restore(t, _entries(m)) for t, m in rows], pa.string())
+
+    return F.when(F.size(mapping) > 0, restored(text, mapping)).otherwise(text)
+
+
+def roundtrip_ok(text: Column, anon: Column, mapping: Column) -> Column:
+    """Whether restoring gives the text again: nested replacements can prevent it."""
+    return restore(anon, mapping).eqNullSafe(text)
 
 
 def restore_answers(

@@ -369,6 +369,45 @@ def anonymize_links(spark: SparkSession, folder: str) -> DataFrame:
     return anon.anonymize(pages.unionByName(documents), "text").select("kind", "id", "anon")
 
 
+@query
+def anonymize_links_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """Links replaced whole, also one that another link of the text begins with."""
+    return anon.anonymize(linked_pages(spark, folder), "text", strict=True).select("host", "page_id", "anon")
+
+
+@query
+def anonymize_per_query(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of a host as hits of one question: a placeholder stands for one link in all of them."""
+    hits = linked_pages(spark, folder).withColumnRenamed("host", "query_id").withColumnRenamed("page_id", "rank")
+    done = anon.anonymize_by_query(hits, "text")
+    rows = anon.mapping_rows(done, ["query_id", "rank"])
+    merged = anon.merge_mappings(rows, "query_id", ["rank", "seq"])
+    answers = done.select("query_id", "rank", "text", "anon", F.col("anon").alias("answer"))
+    restored = anon.restore_answers(answers, merged)
+    return restored.select("query_id", "rank", "anon", (F.col("restored") == F.col("text")).alias("restored"))
+
+
+@query
+def roundtrip_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Which texts come back whole: two dictionary keys of one placeholder prevent it."""
+    done = anon.anonymize(conversations(spark, folder), "text", names(spark))
+    ok = anon.roundtrip_ok(F.col("text"), F.col("anon"), F.col("mapping"))
+    return done.select("conv_id", "turn", ok.alias("ok"))
+
+
+@query
+def recognise_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that documents begin with, looked up as whole words in conversations."""
+    first = F.regexp_extract("text", r"(?U)^\w+", 0)
+    kinds = F.array(*map(F.lit, anon.LABELS))
+    phrases = table(spark, folder, "documents").select(first.alias("text")).filter("text <> ''").distinct()
+    phrases = phrases.withColumn("label", F.get(kinds, F.length("text") % 3))
+    found = anon.PhraseRecogniser(phrases)(conversations(spark, folder), "text", "entities")
+    return found.select("conv_id", "turn", F.posexplode("entities").alias("pos", "e")).select(
+        "conv_id", "turn", F.col("pos").cast("long").alias("pos"), "e.text", "e.label"
+    )
+
+
 @query
 def anonymize_mapping(spark: SparkSession, folder: str) -> DataFrame:
     rows = anon.mapping_rows(anon.anonymize(linked_pages(spark, folder), "text"), ["host", "page_id"])

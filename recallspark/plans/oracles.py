@@ -131,6 +131,44 @@ PAGES = r"""(SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id
   'See ' || url || ' or ' || url || '/more, write to user' || page_id || '@' ||
   regexp_extract(url, '^https?://([^/]+)', 1) || ' about ' || html AS text FROM pages)"""
 
+URLS, MAILS = "https?://\\S+", "\\S+@\\S+\\.\\S+"
+
+
+def whole_links(source: str, keys: str, x: str, pattern: str, kind: str) -> str:
+    """Text with every match of the pattern replaced where it stands, by the number of the first equal one."""
+    found = f"regexp_extract_all({x}, {text(pattern)})"
+    return f"""SELECT {keys}, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] ||
+        CASE WHEN i <= len(f) THEN '[{kind}_' || list_position(f, f[i]) || ']' ELSE '' END), '') AS t
+      FROM (SELECT *, {found} AS f, regexp_split_to_array({x}, {text(pattern)}) AS p FROM {source})"""
+
+
+def numbered_by_query(source: str, x: str, pattern: str, kind: str) -> str:
+    """The same with numbers over the distinct links of a query (host), in order of page and place."""
+    return f"""SELECT host, page_id, original, string_agg(piece || CASE WHEN link IS NULL THEN '' ELSE '[{kind}_' || number || ']' END, '' ORDER BY i) AS t
+      FROM (SELECT host, page_id, any_value(original) AS original, i, any_value(piece) AS piece, any_value(link) AS link FROM (
+          SELECT host, page_id, original, unnest(range(1, len(p) + 1)) AS i, p[i] AS piece, f[i] AS link FROM (
+            SELECT *, regexp_extract_all({x}, {text(pattern)}) AS f, regexp_split_to_array({x}, {text(pattern)}) AS p FROM {source}))
+        GROUP BY host, page_id, i) a
+      LEFT JOIN (SELECT host, link, row_number() OVER (PARTITION BY host ORDER BY page_id, i) AS number FROM (
+          SELECT host, f[i] AS link, min(page_id) AS page_id, arg_min(i, (page_id, i)) AS i FROM (
+            SELECT host, page_id, f, unnest(range(1, len(f) + 1)) AS i FROM (
+              SELECT *, regexp_extract_all({x}, {text(pattern)}) AS f FROM {source}))
+          GROUP BY host, f[i])) b USING (host, link)
+      GROUP BY host, page_id, original"""
+
+
+def back(x: str) -> str:
+    """Long placeholders first; of two keys of one placeholder the later one, if it was replaced."""
+    masked, current = {}, "text"
+    for real, placeholder in sorted(NAMES, key=lambda e: -len(e[0])):
+        masked.setdefault(placeholder, []).append((f"contains({current}, {text(real)})", real))
+        current = f"replace({current}, {text(real)}, {text(placeholder)})"
+    for placeholder in sorted(masked, key=lambda p: -len(p)):
+        value = "CASE " + " ".join(f"WHEN {c} THEN {text(r)}" for c, r in reversed(masked[placeholder]))
+        x = f"replace({x}, {text(placeholder)}, {value} ELSE {text(placeholder)} END)"
+    return x
+
+
 LINES = "(SELECT *, 'text' AS kind FROM conversations WHERE role IN ('user', 'assistant'))"
 CONTENT = strip(f"CASE WHEN conv_id % 2 = 0 THEN text ELSE text || {NL} || '(' || role || ')' END")
 MESSAGES = f"(SELECT conv_id, turn, role, {CONTENT} AS content FROM {LINES} WHERE {CONTENT} <> '')"
@@ -328,6 +366,20 @@ ORACLES: dict[str, str] = {
     "anonymize_links": f"""SELECT kind, id, anon FROM ({linked(
         f"(SELECT 'page' AS kind, page_id AS id, text FROM {PAGES} UNION ALL SELECT 'document', doc_id, text FROM documents)",
         'kind, id', 'text')})""",
+    "anonymize_links_strict": whole_links(
+        f"({whole_links(PAGES, 'host, page_id', 'text', URLS, 'URL')})", "host, page_id", "t", MAILS, "EMAIL"
+    ).replace("AS t", "AS anon", 1),
+    "anonymize_per_query": f"""SELECT host AS query_id, page_id AS rank, t AS anon, true AS restored FROM ({numbered_by_query(
+        f"({numbered_by_query(f'(SELECT *, text AS original FROM {PAGES})', 'text', URLS, 'URL')})", "t", MAILS, "EMAIL")})""",
+    "roundtrip_flags": f"SELECT conv_id, turn, {back(dictionary('text'))} = text AS ok FROM conversations",
+    "recognise_phrases": """WITH phrases AS (
+        SELECT DISTINCT regexp_extract(text, '^[\p{L}\p{N}_]+') AS phrase FROM documents WHERE regexp_matches(text, '^[\p{L}\p{N}_]')),
+      words AS (SELECT conv_id, turn, w[i] AS word, min(i) AS i FROM (
+          SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (
+            SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM conversations)) GROUP BY conv_id, turn, w[i])
+      SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS pos, phrase AS text,
+        (['PER', 'ORG', 'LOC'])[length(phrase) % 3 + 1] AS label
+      FROM words JOIN phrases ON word = phrase""",
     "anonymize_mapping": f"""SELECT host, m.p AS placeholder, arg_max(m.r, page_id) AS real_value FROM (
         SELECT host, page_id, unnest(list_concat(urls, mails)) AS m FROM ({linked(PAGES, 'host, page_id', 'text')}))
       GROUP BY ALL""",

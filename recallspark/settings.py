@@ -22,6 +22,7 @@ class Settings:
     questions_per_block: int = 4_096
     vectors_per_tile: int = 4_096
     dictionary_slice: int = 2_000
+    phrases_per_pass: int = 200_000
 
 
 DEFAULTS = Settings()
