@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -21,7 +21,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from recallspark.functions import spans
 from recallspark.functions.models import loaded, name_of
-from recallspark.functions.pytext import strip
 from recallspark.runtime import array_slices
 from recallspark.schemas import MAPPING_ENTRY, RECOGNISED
 from recallspark.settings import DEFAULTS, Settings
@@ -29,6 +28,8 @@ from recallspark.settings import DEFAULTS, Settings
 # Recognised labels and the prefixes of their placeholders.
 LABELS = {"PER": "Person", "ORG": "Organization", "LOC": "Location"}
 
+_KNOWN_ENTITIES = 1 << 18  # answers that a process remembers
+
 _ENTRIES = f"array<{MAPPING_ENTRY.simpleString()}>"
 
 
@@ -169,36 +170,55 @@ def keep_entities(
 ) -> DataFrame:
     """Drop entities of other labels, of one character, or contained in an allowed word.
 
-    Of equal texts the first stays. Everything happens inside the row.
+    Of equal texts the first stays. The allowed words travel to the workers as one
+    text, `phrases_per_pass` of them at most at once, and every distinct entity is
+    looked for once in a process, so that no row carries them.
     """
-    trimmed = F.transform(
-        entities,
-        lambda e: F.struct(
-            strip(e["text"]).alias("text"), e["label"].alias("label"), e["score"].alias("score")
-        ),
-    )
-    out = df.withColumn(
-        entities,
-        F.filter(trimmed, lambda e: e["label"].isin(*LABELS) & (F.length(e["text"]) >= 2)),
-    )
+    # Not to be moved into the steps that use the entities several times.
+    out = df.withColumn(entities, _kept.asNondeterministic()(F.col(entities)))
     if allowlist is not None:
-        word = F.col(allowlist.columns[0])
-        for words in array_slices(allowlist, [word], word, settings.dictionary_slice):
-            out = out.withColumn("_allowed", words).withColumn(
-                entities,
-                F.filter(
-                    entities,
-                    lambda e: ~F.exists(F.col("_allowed"), lambda w: F.contains(w, e["text"])),
-                ),
-            )
-        out = out.drop("_allowed")
-    texts = F.transform(entities, lambda e: e["text"])
-    return out.withColumn("_texts", texts).withColumn(
-        entities,
-        F.filter(
-            entities, lambda e, i: F.array_position(F.col("_texts"), e["text"]) == i + F.lit(1)
-        ),
-    ).drop("_texts")
+        words = allowlist.select(F.col(allowlist.columns[0]).alias("word")).filter("word IS NOT NULL").distinct()
+        passes = max(1, -(-words.count() // settings.phrases_per_pass))
+        number = F.pmod(F.xxhash64("word"), F.lit(passes))
+        for i in range(passes):
+            allowed = words.filter(number == i).toArrow().column("word").to_pylist()
+            out = out.withColumn(entities, _outside(allowed, df.sparkSession)(F.col(entities)))
+    return out
+
+
+@arrow_udf(RECOGNISED)
+def _kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Trimmed entities of the labels looked for, of two characters or more, each text once."""
+    for batch in batches:
+        rows = []
+        for found in batch.to_pylist():
+            first: dict[str, dict] = {}
+            for e in found or ():
+                text = e["text"].strip() if e["text"] is not None else ""
+                if e["label"] in LABELS and len(text) >= 2:
+                    first.setdefault(text, e | {"text": text})
+            rows.append(None if found is None else list(first.values()))
+        yield pa.array(rows, to_arrow_type(RECOGNISED))
+
+
+def _outside(words: list[str], spark: SparkSession) -> Callable[[Column], Column]:
+    """A filter of entities that are no part of any of the words."""
+    shared = spark.sparkContext.broadcast("\0".join(words))
+    name = f"allowed-{uuid.uuid4().hex}"
+
+    @arrow_udf(RECOGNISED)
+    def outside(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        inside: dict[str, bool] = loaded(name, dict)
+        for batch in batches:
+            rows = batch.to_pylist()
+            for text in {e["text"] for found in rows for e in found or ()} - inside.keys():
+                if len(inside) >= _KNOWN_ENTITIES:
+                    inside.clear()
+                inside[text] = "\0" not in text and text in shared.value
+            kept = [None if found is None else [e for e in found if not inside.get(e["text"], e["text"] in shared.value)] for found in rows]
+            yield pa.array(kept, to_arrow_type(RECOGNISED))
+
+    return outside.asNondeterministic()
 
 
 def _entry(placeholder: Column, real_value: Column) -> Column:

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recallspark.functions.pytext import printable_share
 from recallspark.operators import anonymize as anon
@@ -26,7 +27,7 @@ from recallspark.operators.hygiene import (
     sanitize,
     validate,
 )
-from recallspark.operators.protect import decrypt_columns, encrypt_columns
+from recallspark.operators.protect import decrypt_columns, encrypt_columns, load_configuration, write_protected
 from recallspark.operators.search import (
     assign_cells,
     measure_cells,
@@ -38,7 +39,7 @@ from recallspark.operators.search import (
 from recallspark.operators.upsert import new_rows
 from recallspark.plans.ingest import Store, ingest_all, new_files, prepare_chunks
 from recallspark.plans.retrieval import anonymize_hits, decide, find_hits, prepare
-from recallspark.runtime import Stage
+from recallspark.runtime import Stage, make_folder, move_files
 from recallspark.schemas import DICTIONARY
 from recallspark.settings import Settings
 from recallspark.sources.transcripts import messages_of, parse_lines, rejects_of
@@ -584,6 +585,96 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return Store(spark, root).read("chunks").select("timestamp", "role", "content")
 
 
+def _named_transcripts(spark: SparkSession, folder: str, stage: Stage) -> str:
+    """Conversations as JSONL files `talk-N.jsonl` of up to fifty conversations, as a logger would leave them."""
+    name = F.concat(F.lit("talk-"), F.expr("conv_id div 50").cast("string"))
+    lines = as_lines(spark, folder).withColumn("file", name).repartition("file")
+    lines = lines.sortWithinPartitions("file", "conv_id", "turn").select("value", "file")
+    lines.write.partitionBy("file").text(f"{stage.root}/by_file")
+    path = f"{stage.root}/named"
+    make_folder(spark, path)
+    move_files(spark, f"{stage.root}/by_file/file=*/part-*", lambda p: f"{path}/{p.parent.name.removeprefix('file=')}.jsonl")
+    return path
+
+
+@query
+def ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """What ingestion stores of every chunk: its file's name, its number in the file, and a key of both."""
+    stage = Stage(spark)
+    root = f"{stage.root}/store"
+    ingest_all(spark, _named_transcripts(spark, folder, stage), root)
+    chunks = Store(spark, root).read("chunks")
+    return chunks.select(
+        "conversation_id", "chunk_index", "role", "content", "timestamp",
+        (F.col("id") == F.xxhash64("conversation_id", "chunk_index")).alias("keyed"),
+    )
+
+
+@query
+def ingest_log(spark: SparkSession, folder: str) -> DataFrame:
+    """What ingestion logs of every file, after two runs: once each, with its size and chunks."""
+    stage = Stage(spark)
+    path, root = _named_transcripts(spark, folder, stage), f"{stage.root}/store"
+    ingest_all(spark, path, root, settings=Settings(files_per_wave=2))
+    ingest_all(spark, path, root)
+    log = Store(spark, root).read("ingestion_log")
+    return log.select(
+        F.regexp_extract("file_path", r"[^/]+$", 0).alias("file"), "file_size", "chunks_created",
+        F.col("ingested_at").isNotNull().alias("dated"),
+    )
+
+
+@query
+def store_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that a store holds twice, after chunks of some conversations were added again behind its back."""
+    stage = Stage(spark)
+    path = _named_transcripts(spark, folder, stage)
+    store = Store(spark, f"{stage.root}/store", Settings(store_buckets=16))
+    ingest_all(spark, path, store.root, settings=Settings(store_buckets=16))
+    again = stage.write(store.read("chunks").filter("chunk_index % 7 = 3"), "again")
+    store.append(again, "chunks", "planted")
+    store.commit("planted")
+    return store.repeats("chunks", store.buckets_of(again, "chunks"))
+
+
+@query
+def configuration_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Dictionary and allowlist read back from files: the dictionary plain, the allowlist from its protected copy."""
+    stage = Stage(spark)
+    entry = F.concat(F.to_json(F.struct(F.col("s_name").alias("k"))), F.lit(" "))
+    pairs = table(spark, folder, "supplier").select(
+        "s_suppkey", F.regexp_extract(entry, r'^\{"k":(.*)\} $', 1).alias("key"), F.concat(F.lit('"[S'), "s_suppkey", F.lit(']"')).alias("value")
+    )
+    first = pairs.select("s_suppkey", F.concat("key", F.lit(":"), "value").alias("pair"))
+    # The first suppliers come again at the end, with another placeholder that counts.
+    late = pairs.filter("s_suppkey % 10 = 1").select((F.col("s_suppkey") + 10**9).alias("s_suppkey"), F.concat("key", F.lit(':"[LATE]"')).alias("pair"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "pair"))), lambda p: p["pair"])
+    whole = first.unionByName(late).agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias("value"))
+    whole.write.text(f"{stage.root}/mapping.json")
+    words = table(spark, folder, "region").select(F.col("r_name").alias("word"))
+    write_protected(words, ["word"], "a pass phrase", f"{stage.root}/allowed.json")
+    dictionary, allowlist = load_configuration(spark, f"{stage.root}/mapping.json", f"{stage.root}/allowed.json", "a pass phrase")
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("pos")).cast("long")
+    both = dictionary.select(F.lit("dictionary").alias("kind"), "pos", "real_value", "placeholder").unionByName(
+        allowlist.select(F.lit("allowed").alias("kind"), F.lit(0).alias("pos"), F.col("word").alias("real_value"), F.lit(None).cast("string").alias("placeholder"))
+    )
+    return both.withColumn("place", F.when(F.col("kind") == "dictionary", place)).drop("pos")
+
+
+@query
+def audit_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Records written with the time of writing: all in UTC, in one form, and not from the future."""
+    records = audit_records(conversation_outcomes(spark, folder))
+    path = f"{Stage(spark).root}/audit"
+    append_audit(records, path)
+    at = F.col("timestamp")
+    form = at.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00$")
+    now = F.to_timestamp(at) <= F.current_timestamp()
+    return read_audit(spark, path).groupBy("action").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(form).alias("utc_form"), F.bool_and(now).alias("past")
+    )
+
+
 # Protection
 
 

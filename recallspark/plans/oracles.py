@@ -328,6 +328,17 @@ INGESTED = f"""SELECT conv_id || ':' || turn AS timestamp, role, chunk AS conten
   FROM ({exploded(MESSAGES, 'conv_id, turn, role', 'content')})
   WHERE {reason('chunk', SHARE.replace('text', 'chunk'))} IS NULL"""
 
+# Every chunk with its number in its file, and whether it is stored.
+NAMED = f"""(SELECT 'talk-' || (conv_id // 50) AS conversation_id, role, chunk AS content, conv_id || ':' || turn AS timestamp,
+    row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn, pos) - 1 AS chunk_index,
+    {reason('chunk', SHARE.replace('text', 'chunk'))} IS NULL AS stored
+  FROM ({exploded(MESSAGES, 'conv_id, turn, role', 'content')}))"""
+
+# A line of a transcript, as JSON.
+LINE = """'{"type":"' || role || '","timestamp":"' || conv_id || ':' || turn || '","message":{"role":"' || role || '","content":' ||
+    CASE WHEN conv_id % 2 = 0 THEN to_json(text)::VARCHAR ELSE '[{"type":"thinking","thinking":"..."},{"type":"text","text":' ||
+      to_json(text)::VARCHAR || '},"(' || role || ')",7]' END || '}}'"""
+
 ORACLES: dict[str, str] = {
     "parse_transcripts": f"SELECT conv_id, turn, role, content, conv_id || ':' || turn AS timestamp FROM {MESSAGES}",
     "line_rejects": """SELECT conv_id::VARCHAR AS conversation_id, reject_reason,
@@ -417,6 +428,15 @@ ORACLES: dict[str, str] = {
         (SELECT count(DISTINCT conv_id) FROM conversations) - (SELECT count(*) FROM todo) AS skipped""",
     "ingest_batch": INGESTED,
     "stream_ingest": INGESTED,
+    "ingest_chunks": f"SELECT conversation_id, chunk_index, role, content, timestamp, true AS keyed FROM {NAMED} WHERE stored",
+    "ingest_log": f"""WITH made AS (SELECT conversation_id, count(*) AS chunks_created FROM {NAMED} WHERE stored GROUP BY ALL),
+        sizes AS (SELECT 'talk-' || (conv_id // 50) AS conversation_id, sum(strlen({LINE}) + 1)::BIGINT AS file_size FROM conversations GROUP BY ALL)
+      SELECT conversation_id || '.jsonl' AS file, file_size, chunks_created, true AS dated FROM made JOIN sizes USING (conversation_id)""",
+    "store_repeats": f"SELECT conversation_id, chunk_index, 2 AS n FROM {NAMED} WHERE stored AND chunk_index % 7 = 3",
+    "configuration_files": """SELECT 'dictionary' AS kind, s_name AS real_value,
+        CASE WHEN s_suppkey % 10 = 1 THEN '[LATE]' ELSE '[S' || s_suppkey || ']' END AS placeholder, row_number() OVER (ORDER BY s_suppkey) AS place
+      FROM supplier UNION ALL SELECT 'allowed', r_name, NULL, NULL FROM region""",
+    "audit_times": f"SELECT action, count(*) AS n, true AS utc_form, true AS past FROM {AUDIT} GROUP BY action",
     "protect_mapping": "SELECT n_name AS real_value, '[N' || n_nationkey || ']' AS placeholder FROM nation",
     "prompts_for_benchmark": f"""{DOCUMENT_HITS},
       hit AS (SELECT query_id, rank, source AS role, {dictionary('chunk')} AS text

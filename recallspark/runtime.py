@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,14 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(hadoop_path)
 
 
+def move_files(spark: SparkSession, pattern: str, target: Callable[[PurePosixPath], str]) -> None:
+    """Give the files of a pattern other names in the same file system. Their content is not read."""
+    fs, hadoop_pattern = _file_system(spark, pattern)
+    for status in fs.globStatus(hadoop_pattern):
+        moved = spark._jvm.org.apache.hadoop.fs.Path(target(PurePosixPath(status.getPath().toString())))
+        fs.rename(status.getPath(), moved)
+
+
 class Stage:
     """Tables written between two jobs of one run, removed at its end or with the application.
 

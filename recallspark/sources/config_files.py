@@ -2,34 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.runtime import path_exists
 from recallspark.schemas import ALLOWLIST, DICTIONARY, empty
 
 
-def dictionary_entries(json: Column) -> Column:
-    """A JSON object as an ordered array of (real_value, placeholder).
+def dictionary_from_json(documents: DataFrame, json: str = "value") -> DataFrame:
+    """Entries of JSON objects: `pos, real_value, placeholder`, in the order of `pos`.
 
     Of equal keys the last value counts, at the place of the first. An empty key
     has no meaning as a search text and is left out.
     """
-    pairs = F.map_entries(F.from_json(json, "map<string,string>"))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.transform(
-        F.filter(keys, lambda k: k != ""),
-        lambda k: F.struct(
-            k.alias("real_value"),
-            F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("placeholder"),
-        ),
-    )
-
-
-def dictionary_from_json(documents: DataFrame, json: str = "value") -> DataFrame:
-    return documents.select(F.posexplode(dictionary_entries(F.col(json))).alias("pos", "_e")).select(
-        "pos", "_e.real_value", "_e.placeholder"
-    )
+    pairs = F.map_entries(F.from_json(F.col(json), "map<string,string>"))
+    entries = documents.select(F.posexplode(pairs).alias("_at", "_e")).filter("_e.key <> ''")
+    return entries.groupBy(F.col("_e.key").alias("real_value")).agg(
+        F.min("_at").alias("pos"), F.max_by("_e.value", "_at").alias("placeholder")
+    ).select("pos", "real_value", "placeholder")
 
 
 def allowlist_from_json(documents: DataFrame, json: str = "value") -> DataFrame:
