@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -34,6 +35,20 @@ def make_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(hadoop_path)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the plans made inside; afterwards it is what it was."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def move_files(spark: SparkSession, pattern: str, target: Callable[[PurePosixPath], str]) -> None:
     """Give the files of a pattern other names in the same file system. Their content is not read."""
     fs, hadoop_pattern = _file_system(spark, pattern)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions.pytext import strip
 from recallspark.operators.ordering import number_in_file_order
-from recallspark.runtime import Stage
+from recallspark.runtime import Stage, setting
 
 # Entry types that carry messages.
 MESSAGE_TYPES = ("user", "assistant")
@@ -80,15 +80,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     A line is a message (`content` is set), a reject (`reject_reason` is set), or
     neither: blank, or an entry that carries no text.
     """
-    # The last of several equal keys counts, as in most JSON readers.
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-
     json = F.expr("try_parse_json(CASE WHEN is_valid_utf8(_line) THEN _line END)")
+    stripped = lines.withColumn("_line", strip(F.col("value"))).filter("_line <> ''")
+    # The last of several equal keys counts, as in most JSON readers. The plan keeps what holds as it is made.
+    with setting(lines.sparkSession, "spark.sql.variant.allowDuplicateKeys", "true"):
+        parsed = stripped.withColumn("_json", _only(json))
     fields = (
-        lines.withColumn("_line", strip(F.col("value")))
-        .filter("_line <> ''")
-        .withColumn("_json", _only(json))
-        .withColumns(
+        parsed.withColumns(
             {
                 "_type": F.expr("try_variant_get(_json, '$.type', 'variant')"),
                 "_message": F.expr("try_variant_get(_json, '$.message', 'variant')"),

@@ -66,6 +66,20 @@ def test_line_shapes(spark):
     assert rejects == {i: c[2] for i, c in enumerate(CASES) if c[2]}
 
 
+@pytest.mark.parametrize("before", [None, "false", "true"])
+def test_parsing_leaves_the_session_as_it_was(spark, before):
+    name = "spark.sql.variant.allowDuplicateKeys"
+    if before is not None:
+        spark.conf.set(name, before)
+    try:
+        lines = spark.createDataFrame([(CASES[-1][0],), (CASES[0][0],)], "value string")
+        parsed = parse_lines(lines)
+        assert spark.conf.get(name) == (before or "false")
+        assert {r.content for r in messages_of(parsed).filter("role <> ''").collect()} == {"last key counts", "hello"}
+    finally:
+        spark.conf.unset(name)
+
+
 @pytest.fixture
 def folder(tmp_path):
     path = tmp_path / "in"
