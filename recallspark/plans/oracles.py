@@ -383,7 +383,7 @@ ORACLES: dict[str, str] = {
     "anonymize_per_query": f"""SELECT host AS query_id, page_id AS rank, t AS anon, true AS restored FROM ({numbered_by_query(
         f"({numbered_by_query(f'(SELECT *, text AS original FROM {PAGES})', 'text', URLS, 'URL')})", "t", MAILS, "EMAIL")})""",
     "roundtrip_flags": f"SELECT conv_id, turn, {back(dictionary('text'))} = text AS ok FROM conversations",
-    "recognise_phrases": """WITH phrases AS (
+    "recognise_phrases": r"""WITH phrases AS (
         SELECT DISTINCT regexp_extract(text, '^[\p{L}\p{N}_]+') AS phrase FROM documents WHERE regexp_matches(text, '^[\p{L}\p{N}_]')),
       words AS (SELECT conv_id, turn, w[i] AS word, min(i) AS i FROM (
           SELECT conv_id, turn, w, unnest(range(1, len(w) + 1)) AS i FROM (
