@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from recallspark.llm.arrow import Scratch, map_batches
 
-_BUCKET_ROWS = 20_000
+_BUCKET_ROWS = 1_000
 #: Slots of the rarest source in a period: its weight is met to a part in so many.
 _LEAST_SLOTS = 1000
 _BATCH_SLOTS = 50_000
@@ -141,11 +141,11 @@ def mix(
     else:
         raise ValueError("name a weight for every source")
 
-    columns = [c for c in docs.columns if c not in ("mix_slot", "mix_position", "mix_epoch")]
-    keyed = docs.select(
-        *columns,
-        name(F.col(source_column)).alias("_s"),
-        F.xxhash64(F.lit(seed), F.col(id_column), F.col(text_column)).alias("_h"),
+    # The columns by place, so that no name meets one of the numbers worked out beside them.
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    source, own_id, text = (F.col(places[c]) for c in (source_column, id_column, text_column))
+    keyed = docs.toDF(*places.values()).select(
+        *places.values(), name(source).alias("_s"), F.xxhash64(F.lit(seed), own_id, text).alias("_h")
     )
     totals = keyed.groupBy("_s").agg(F.count("*").alias("_n"))
     sizes = scratch.write(totals.join(named, "_s", "left"))
@@ -163,25 +163,25 @@ def mix(
         .withColumn("_start", F.sum("_rows").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_rows"))
         .drop("_rows")
     )
-    within = Window.partitionBy("_s", "_b").orderBy("_h", F.col(id_column))
+    within = Window.partitionBy("_s", "_b").orderBy("_h", own_id)
     ranked = keyed.withColumn("_r", F.row_number().over(within) - 1)
     ranked = ranked.join(starts, ["_s", "_b"]).withColumn("_r", F.col("_r") + F.col("_start"))
 
     repeated = ranked
     if repeat:
         epochs = F.floor((F.col("_take") - 1 - F.col("_r")) / F.col("_n"))
-        repeated = repeated.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
+        repeated = repeated.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
     else:
-        repeated = repeated.withColumn("mix_epoch", F.lit(0).cast("long"))
-    turn = F.col("_r") + F.col("mix_epoch") * F.col("_n")
+        repeated = repeated.withColumn("_epoch", F.lit(0).cast("long"))
+    turn = F.col("_r") + F.col("_epoch") * F.col("_n")
     repeated = repeated.withColumn("_turn", turn).withColumn("_block", F.floor(F.col("_turn") / block_rows))
     repeated = repeated.join(plan, ["_s", "_block"])
     slot = F.col("_slot")
     return repeated.select(
-        *columns,
+        *[F.col(place).alias(c) for c, place in places.items() if c not in ("mix_slot", "mix_position", "mix_epoch")],
         slot.alias("mix_slot"),
         (slot * block_rows + F.pmod("_turn", F.lit(block_rows))).alias("mix_position"),
-        "mix_epoch",
+        F.col("_epoch").alias("mix_epoch"),
     )
 
 
