@@ -80,7 +80,3 @@ def load_configuration(
     else:
         allowlist = load_allowlist(spark, allowlist_path)
     return dictionary, allowlist
-
-
-def no_configuration(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return empty(spark, DICTIONARY), empty(spark, ALLOWLIST)

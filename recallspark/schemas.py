@@ -18,14 +18,6 @@ BINARY_FILES = _struct(
     ("content", T.BinaryType(), True),
 )
 
-MESSAGES = _struct(
-    ("conversation_id", T.StringType(), False),
-    ("msg_index", T.LongType(), False),
-    ("role", T.StringType(), False),
-    ("content", T.StringType(), False),
-    ("timestamp", T.StringType(), True),
-)
-
 CHUNKS = _struct(
     ("id", T.LongType(), False),
     ("conversation_id", T.StringType(), False),
