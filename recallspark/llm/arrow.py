@@ -78,7 +78,14 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more: all that was derived from them is written."""
-        for table, path in [(t, p) for t, p in self.paths if any(t is x for x in tables)]:
+        self._delete([(t, p) for t, p in self.paths if any(t is x for x in tables)])
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        self._delete([(t, p) for t, p in self.paths if not any(t is x for x in tables)])
+
+    def _delete(self, gone: list[tuple[DataFrame, str]]) -> None:
+        for table, path in gone:
             hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
             self.paths = [(t, p) for t, p in self.paths if t is not table]

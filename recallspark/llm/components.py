@@ -9,7 +9,7 @@ from recallspark.llm.arrow import Scratch
 
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """For every vertex v of the edges (a, b) the smallest vertex c it is connected with.
+    """For every vertex v of the edges (a, b) the smallest vertex c it is connected with, as a written table.
 
     Each round a vertex takes the smallest label of itself and its neighbours,
     then the label of that label, so paths shorten by halves; the rounds end when no
@@ -17,7 +17,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.write(both.distinct())
-    labels = scratch.write(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    labels = written = scratch.write(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:
         heard = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         nearer = labels.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
@@ -25,6 +25,8 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
             labels.select(F.col("v").alias("c"), F.col("c").alias("next")), "c", "left"
         ).select("v", "old", F.least("c", F.coalesce("next", "c")).alias("c"))
         new = scratch.write(jumped)
+        scratch.drop(written)
         if new.filter("c < old").isEmpty():
-            return new.select("v", "c")
-        labels = new.select("v", "c")
+            scratch.drop(both)
+            return new
+        labels, written = new.select("v", "c"), new

@@ -14,10 +14,13 @@ from recallspark.llm.arrow import Scratch, map_batches, row_key
 from recallspark.llm.components import connected
 from recallspark.llm.words import Words, mix, signed, text_slices
 
-#: Buckets of the frequency sketch that orders shingles, and of the set profile that bounds overlaps.
-SKETCH_BITS, PROFILE = 16, 128
+#: Bits of the frequency sketch that orders shingles, from the least to the most: a bucket for each row
+#: between, so that what falls into a bucket does not grow. Buckets of the set profile that bounds overlaps.
+SKETCH_BITS, PROFILE = (16, 22), 128
 _FLUSH = 1 << 18
-_PIVOTS, _TRIALS = 2, 2
+#: Another star is worth its pass while it leaves at most this part of the pairs.
+_PROGRESS = 0.8
+_TRIALS = 2
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,27 +58,29 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, size: int):
 
 
 def _sketch(texts: DataFrame, size: int) -> np.ndarray:
-    """How often shingles of each hash bucket occur: a bounded table that orders shingles by rarity."""
+    """How often shingles of each hash bucket occur, as a byte: a table of bounded size that orders shingles by rarity."""
+    bits = min(max(SKETCH_BITS[0], texts.count().bit_length()), SKETCH_BITS[1])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for _, _, values, _ in _sets(batches, 0, size):
-            total += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            total += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
         used = np.flatnonzero(total)
         yield {"bucket": used.astype(np.int32), "n": total[used]}
 
     counts = map_batches(texts, kernel, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in counts.collect():
-        out[r.bucket] = r.n
+    found = counts.toArrow()
+    out = np.zeros(1 << bits, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     # only the order of magnitude counts, so that chance differences do not pull common shingles forward
-    return np.floor(np.log2(out + 1) * 4).astype(np.uint64)
+    return np.floor(np.log2(out + 1) * 4).astype(np.uint8)
 
 
 def _ordered(values: np.ndarray, bounds: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """The sets' members from the rarest bucket to the commonest, ties by hash."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    rank = rarity[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    bits = len(rarity).bit_length() - 1
+    rank = rarity[(values >> np.uint64(64 - bits)).astype(np.int64)]
     return values[np.lexsort((values, rank, text))]
 
 
@@ -260,7 +265,9 @@ def _overlaps(pairs: DataFrame, members: DataFrame, percent: int, scratch: Scrat
             yield {**{c: batch.column(c) for c in ("a", "an", "b", "bn")}, "overlap": shared(batch, "<i8")[0]}
 
     close = scratch.write(map_batches(_both(pairs, members, "short"), bound, _PAIR))
-    return scratch.write(map_batches(_both(close, members, "members"), count, f"{_PAIR}, overlap bigint"))
+    compared = scratch.write(map_batches(_both(close, members, "members"), count, f"{_PAIR}, overlap bigint"))
+    scratch.drop(close)
+    return compared
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
@@ -281,11 +288,20 @@ def _block(n: str, percent: int):
 
 def _open(lists: DataFrame, joined: DataFrame) -> DataFrame:
     """The entries of lists that still hold several components, with their component."""
-    entries = lists.join(joined.withColumnRenamed("v", "sig"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))
+    entries = lists.join(joined.select(F.col("v").alias("sig"), "c"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))
     spans = entries.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     return entries.join(spans.filter("lo < hi").select("token"), "token")
 
 
+def _unsettled(entries: DataFrame, percent: int) -> tuple[int, int]:
+    """Pairs of entries of one block in different components, and the number of entries."""
+    sizes = entries.groupBy("token", _block("n", percent).alias("block"), "c").agg(F.count(F.lit(1)).alias("m"))
+    m = F.col("m").cast("double")
+    blocks = sizes.groupBy("token", "block").agg(F.sum(m).alias("m"), F.sum(m * m).alias("own"))
+    r = blocks.agg(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs"), F.sum("m").alias("n")).first()
+    return int(r["pairs"] or 0), int(r["n"] or 0)
+
+
 def _to_pivots(entries: DataFrame, turn: int, percent: int) -> DataFrame:
     """In every block of an open list, the sets against one of them drawn by a hash, as pairs (a, an, b, bn)."""
     entries = entries.withColumn("block", _block("n", percent))
@@ -322,7 +338,8 @@ def link_components(
     are skipped, as are blocks of the list whose sizes or positions exclude a
     link, and for two sets X, Z compared with the same H, |XH| + |ZH| - |H| <=
     |XZ| <= min(|XH|, |ZH|) + min(|X| - |XH|, |Z| - |ZH|) often decides without
-    reading either. Before that, the sets of every block are compared with one of them, a few times.
+    reading either. Before that, the sets of every block are compared with one of them, again and
+    again while that settles a good part of the pairs and more pairs than entries are open.
     What stays open is counted on the sets themselves, so the
     links found connect all that link. Members are compared by 64-bit hashes.
     """
@@ -330,6 +347,7 @@ def link_components(
     rows, groups = _grouped(docs, id_column, text_column, shingle, percent, scratch)
     smallest = groups.groupBy("c").agg(F.min("first.id").alias("component_id"))
     of_set = scratch.write(groups.join(smallest, "c").select("sig", "component_id"))
+    scratch.keep(rows, of_set)
     return rows.join(of_set, "sig", "left").select(
         id_column,
         F.col("n").alias("n_shingles"),
@@ -376,6 +394,7 @@ def _grouped(
     sets = scratch.write(sets.join(lists.select("sig").distinct(), "sig", "left_semi"))
     texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("text"))
     able = scratch.write(_able(stars, sets, percent))
+    scratch.drop(stars)
     wanted = scratch.write(_wanted(able, sets))
     members = scratch.write(_shortened(_members(texts, wanted, shingle)))
     compared = _overlaps(able, members, percent, scratch)
@@ -389,17 +408,25 @@ def _grouped(
         members = members.union(scratch.write(_shortened(_members(texts, more, shingle))))
         wanted = wanted.union(more.select(*wanted.columns))
 
-    # a few more stars first: sets that resemble one another mostly join by them, and their pairs need no answer
-    edges, done = linked, None
-    for turn in range(_PIVOTS):
-        star = scratch.write(_able(_to_pivots(_open(lists, joined), turn, percent), sets, percent))
+    # more stars: sets that resemble one another mostly join by them, and their pairs need no answer
+    edges, done, turn, before = linked, None, 0, None
+    entries = scratch.write(_open(lists, joined))
+    scratch.drop(lists)
+    while True:
+        pairs, n_entries = _unsettled(entries, percent)
+        if pairs <= n_entries or before is not None and pairs > _PROGRESS * before:
+            break
+        star = scratch.write(_able(_to_pivots(entries, turn, percent), sets, percent))
         read(star)
         edges = edges.union(_linked(_overlaps(star, members, percent, scratch), percent))
-        joined = connected(edges, scratch)
+        known, joined = joined, connected(edges, scratch)
         done = star.select("a", "b") if done is None else done.union(star.select("a", "b"))
+        rest = scratch.write(_open(entries.drop("c"), joined))
+        scratch.drop(known, entries)
+        entries, before, turn = rest, pairs, turn + 1
 
     # lists that still hold several components: pairs across them
-    entries = _open(lists, joined).join(
+    entries = entries.join(
         compared.select(F.col("a").alias("head"), F.col("b").alias("sig"), F.col("overlap").alias("o")), ["head", "sig"], "left"
     )
     entries = scratch.write(entries.withColumn("o", F.when(F.col("sig") == F.col("head"), F.col("n")).otherwise(F.col("o"))))
@@ -424,7 +451,9 @@ def _grouped(
         F.col("x_sig").alias("a"), F.col("x_n").alias("an"), F.col("z_sig").alias("b"), F.col("z_n").alias("bn"), certain.alias("certain")
     )
     pairs = scratch.write(pairs.groupBy("a", "an", "b", "bn").agg(F.max("certain").alias("certain")))
-    doubtful = pairs.filter(~F.col("certain")).drop("certain").join(done, ["a", "b"], "left_anti")
+    doubtful = pairs.filter(~F.col("certain")).drop("certain")
+    if done is not None:
+        doubtful = doubtful.join(done, ["a", "b"], "left_anti")
     able = scratch.write(_able(doubtful, sets, percent))
     read(able)
     edges = edges.union(scratch.write(pairs.filter("certain").select("a", "b")))
@@ -436,14 +465,15 @@ def _grouped(
         trial = scratch.write(trial)
         edges = edges.union(_linked(_overlaps(trial, members, percent, scratch), percent))
         joined = connected(edges, scratch)
-        done = done.union(trial.select("a", "b"))
+        done = trial.select("a", "b") if done is None else done.union(trial.select("a", "b"))
     rest = scratch.write(_across(able, joined).join(done, ["a", "b"], "left_anti"))
     edges = edges.union(_linked(_overlaps(rest, members, percent, scratch), percent))
     joined = connected(edges, scratch)
 
     first = F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), "k1", "k2")
     groups = rows.filter("sig != 0").groupBy("sig").agg(F.min(first).alias("first"))
-    groups = groups.join(joined.withColumnRenamed("v", "sig"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))
+    groups = groups.join(joined.select(F.col("v").alias("sig"), "c"), "sig", "left").withColumn("c", F.coalesce("c", "sig"))
+    scratch.keep(rows, joined)
     return rows, groups
 
 
@@ -459,7 +489,11 @@ def keep_first(
     _, groups = _grouped(docs, id_column, text_column, shingle, percent, scratch)
     heads = groups.groupBy("c").agg(F.min("first").alias("first"))
     heads = scratch.write(heads.select(F.col("first.k1").alias("_k1"), F.col("first.k2").alias("_k2")))
-    empty = ~F.coalesce(F.col(text_column), F.lit("")).rlike("[^ \\t-\\r]")
-    k1, k2 = row_key(id_column, text_column)
-    held = docs.filter(~empty).withColumns({"_k1": k1, "_k2": k2}).join(heads, ["_k1", "_k2"])
-    return held.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2").unionByName(docs.filter(empty))
+    scratch.keep(heads)
+    # The columns by place, so that none of them meets the key.
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*places.values())
+    empty = ~F.coalesce(F.col(places[text_column]), F.lit("")).rlike("[^ \\t-\\r]")
+    k1, k2 = row_key(places[id_column], places[text_column])
+    held = rows.filter(~empty).withColumns({"_k1": k1, "_k2": k2}).join(heads, ["_k1", "_k2"])
+    return held.dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2").unionByName(rows.filter(empty)).toDF(*docs.columns)
