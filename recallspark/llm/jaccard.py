@@ -14,9 +14,9 @@ from recallspark.llm.arrow import Scratch, map_batches, row_key
 from recallspark.llm.components import connected
 from recallspark.llm.words import Words, mix, signed, text_slices
 
-#: Bits of the frequency sketch that orders shingles, from the least to the most: a bucket for each row
-#: between, so that what falls into a bucket does not grow. Buckets of the set profile that bounds overlaps.
-SKETCH_BITS, PROFILE = (16, 22), 128
+#: Bits of the frequency sketch that orders shingles: one size for every table, so that a task gives a row for each
+#: bucket at most and the rows of all tasks grow with the tasks. Buckets of the set profile that bounds overlaps.
+SKETCH_BITS, PROFILE = 20, 128
 _FLUSH = 1 << 18
 #: Another star is worth its pass while it leaves at most this part of the pairs.
 _PROGRESS = 0.8
@@ -59,18 +59,17 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int, size: int):
 
 def _sketch(texts: DataFrame, size: int) -> np.ndarray:
     """How often shingles of each hash bucket occur, as a byte: a table of bounded size that orders shingles by rarity."""
-    bits = min(max(SKETCH_BITS[0], texts.count().bit_length()), SKETCH_BITS[1])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, _, values, _ in _sets(batches, 0, size):
-            total += np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=len(total))
+            np.add.at(total, (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield {"bucket": used.astype(np.int32), "n": total[used]}
 
     counts = map_batches(texts, kernel, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     # only the order of magnitude counts, so that chance differences do not pull common shingles forward
     return np.floor(np.log2(out + 1) * 4).astype(np.uint8)
@@ -79,8 +78,7 @@ def _sketch(texts: DataFrame, size: int) -> np.ndarray:
 def _ordered(values: np.ndarray, bounds: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """The sets' members from the rarest bucket to the commonest, ties by hash."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    bits = len(rarity).bit_length() - 1
-    rank = rarity[(values >> np.uint64(64 - bits)).astype(np.int64)]
+    rank = rarity[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     return values[np.lexsort((values, rank, text))]
 
 
