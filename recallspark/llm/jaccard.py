@@ -186,6 +186,25 @@ def _profiles(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8)]
 
 
+_PARITY = [f"parity{i}" for i in range(4)]
+
+
+def _parities(values: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    """256 bits of each set, one turned over by each member: two sets differ in no more bits than in members."""
+    bit = (mix(values ^ np.uint64(0x5A5A)) >> np.uint64(56)).astype(np.int64)
+    at = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * 256 + bit
+    odd = np.bincount(at, minlength=(len(bounds) - 1) * 256).reshape(-1, 256) & 1
+    words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+    return {c: words[:, i] for i, c in enumerate(_PARITY)}
+
+
+def _near_in_parity(x: str, z: str, percent: int):
+    """Whether the bits leave a link possible between the sets whose columns begin with x and z."""
+    differ = sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(z + c))) for c in _PARITY), F.lit(0))
+    both = F.col(f"{x}n") + F.col(f"{z}n")
+    return differ <= both - 2 * F.ceil(percent * both / (100 + percent))
+
+
 _PAIR = "a bigint, an int, b bigint, bn int"
 
 
@@ -374,11 +393,13 @@ def _grouped(
                 "n": np.diff(bounds),
                 "sig": _signatures(values, bounds),
                 "profile": _profiles(values, bounds),
+                **_parities(values, bounds),
             }
 
     kind = docs.schema[id_column].dataType.simpleString()
     keyed = docs.select(F.col(id_column), *row_key(id_column, text_column), F.col(text_column).alias("text"))
-    rows = map_batches(keyed, describe, f"`{id_column}` {kind}, k1 bigint, k2 bigint, n bigint, sig bigint, profile binary")
+    parity = ", ".join(f"{c} bigint" for c in _PARITY)
+    rows = map_batches(keyed, describe, f"`{id_column}` {kind}, k1 bigint, k2 bigint, n bigint, sig bigint, profile binary, {parity}")
     rows = scratch.write(rows)
     lists = scratch.write(_lists(_postings(texts, shingle, percent, rarity)))
 
@@ -387,7 +408,7 @@ def _grouped(
     stars = scratch.write(
         stars.select(F.col("head").alias("a"), F.col("head_n").alias("an"), F.col("sig").alias("b"), F.col("n").alias("bn")).distinct()
     )
-    first = F.struct("k1", "k2", "profile")
+    first = F.struct("k1", "k2", "profile", *_PARITY)
     sets = rows.filter("sig != 0").groupBy("sig").agg(F.min(first).alias("first")).select("sig", "first.*")
     sets = scratch.write(sets.join(lists.select("sig").distinct(), "sig", "left_semi"))
     texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("text"))
@@ -427,19 +448,22 @@ def _grouped(
     entries = entries.join(
         compared.select(F.col("a").alias("head"), F.col("b").alias("sig"), F.col("overlap").alias("o")), ["head", "sig"], "left"
     )
-    entries = scratch.write(entries.withColumn("o", F.when(F.col("sig") == F.col("head"), F.col("n")).otherwise(F.col("o"))))
+    entries = entries.withColumn("o", F.when(F.col("sig") == F.col("head"), F.col("n")).otherwise(F.col("o")))
+    entries = scratch.write(entries.join(sets.select("sig", *_PARITY), "sig"))
     block = _block("n", percent)
+    both = ("sig", "n", "place", "c", "o", "head", *_PARITY)
     left = entries.select(
-        "token", "head_n", *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "place", "c", "o", "head")),
+        "token", "head_n", *(F.col(c).alias(f"x_{c}") for c in both),
         F.explode(F.array(block - 1, block, block + 1)).alias("block"),
     )
-    right = entries.select("token", *(F.col(c).alias(f"z_{c}") for c in ("sig", "n", "place", "c", "o", "head")), block.alias("block"))
+    right = entries.select("token", *(F.col(c).alias(f"z_{c}") for c in both), block.alias("block"))
     pairs = left.join(right, ["token", "block"]).filter(
         (F.col("x_sig") < F.col("z_sig"))
         & (F.col("x_c") != F.col("z_c"))
         & (F.col("x_sig") != F.col("x_head"))
         & (F.col("z_sig") != F.col("z_head"))
         & _may_link("x_n", "x_place", "z_n", "z_place", percent)
+        & _near_in_parity("x_", "z_", percent)
     )
     most = F.least("x_o", "z_o") + F.least(F.col("x_n") - F.col("x_o"), F.col("z_n") - F.col("z_o"))
     least = F.col("x_o") + F.col("z_o") - F.col("head_n")
