@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from recallspark.llm.arrow import Scratch, map_batches, row_key
-from recallspark.llm.components import connected
+from recallspark.llm.components import connected, joined_by
 from recallspark.llm.words import Words, mix, signed, text_slices
 
 #: Bits of the frequency sketch that orders shingles: one size for every table, so that a task gives a row for each
@@ -20,7 +19,6 @@ SKETCH_BITS, PROFILE = 20, 128
 _FLUSH = 1 << 18
 #: Another star is worth its pass while it leaves at most this part of the pairs.
 _PROGRESS = 0.8
-_TRIALS = 2
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +254,7 @@ def _shortened(members: DataFrame) -> DataFrame:
     return map_batches(members, digest, "sig bigint, members binary, short binary")
 
 
-def _overlaps(pairs: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _overlaps(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Exact overlaps of the pairs (a, an, b, bn) that are links, and of those close to one.
 
     Pairs are first compared by 16 bits of each member, which bounds the overlap closely.
@@ -281,23 +279,14 @@ def _overlaps(pairs: DataFrame, members: DataFrame, percent: int, scratch: Scrat
         for batch in batches:
             yield {**{c: batch.column(c) for c in ("a", "an", "b", "bn")}, "overlap": shared(batch, "<i8")[0]}
 
-    close = scratch.write(map_batches(_both(pairs, members, "short"), bound, _PAIR))
-    compared = scratch.write(map_batches(_both(close, members, "members"), count, f"{_PAIR}, overlap bigint"))
-    scratch.drop(close)
-    return compared
+    close = map_batches(_both(pairs, members, "short"), bound, _PAIR)
+    return map_batches(_both(close, members, "members"), count, f"{_PAIR}, overlap bigint")
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
     return compared.filter(_links(F.col("overlap"), F.col("an"), F.col("bn"), percent)).select("a", "b")
 
 
-def _across(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs whose sets lie in different components (v, c) so far."""
-    of = [joined.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in ("a", "b")]
-    both = pairs.join(of[0], "a", "left").join(of[1], "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-
 def _block(n: str, percent: int):
     """A block holds sizes within the ratio that a link allows: only equal and next blocks can hold partners."""
     return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
@@ -405,30 +394,26 @@ def _grouped(
 
     # every list's first set against the others
     stars = lists.filter((F.col("sig") != F.col("head")) & _may_link("n", "place", "head_n", "head_place", percent))
-    stars = scratch.write(
-        stars.select(F.col("head").alias("a"), F.col("head_n").alias("an"), F.col("sig").alias("b"), F.col("n").alias("bn")).distinct()
-    )
+    stars = stars.select(
+        F.col("head").alias("a"), F.col("head_n").alias("an"), F.col("sig").alias("b"), F.col("n").alias("bn")
+    ).distinct()
     first = F.struct("k1", "k2", "profile", *_PARITY)
     sets = rows.filter("sig != 0").groupBy("sig").agg(F.min(first).alias("first")).select("sig", "first.*")
     sets = scratch.write(sets.join(lists.select("sig").distinct(), "sig", "left_semi"))
     texts = docs.select(*row_key(id_column, text_column), F.col(text_column).alias("text"))
     able = scratch.write(_able(stars, sets, percent))
-    scratch.drop(stars)
-    wanted = scratch.write(_wanted(able, sets))
-    members = scratch.write(_shortened(_members(texts, wanted, shingle)))
-    compared = _overlaps(able, members, percent, scratch)
-    linked = _linked(compared, percent)
-    joined = connected(linked, scratch)
+    members = scratch.write(_shortened(_members(texts, _wanted(able, sets), shingle)))
+    compared = scratch.write(_overlaps(able, members, percent))
+    joined = connected(_linked(compared, percent), scratch)
 
     def read(pairs: DataFrame) -> None:
         """Have the members of all sets of the pairs."""
-        nonlocal members, wanted
-        more = scratch.write(_wanted(pairs, sets).join(wanted, "sig", "left_anti"))
+        nonlocal members
+        more = _wanted(pairs, sets).join(members.select("sig"), "sig", "left_anti")
         members = members.union(scratch.write(_shortened(_members(texts, more, shingle))))
-        wanted = wanted.union(more.select(*wanted.columns))
 
     # more stars: sets that resemble one another mostly join by them, and their pairs need no answer
-    edges, done, turn, before = linked, None, 0, None
+    done, turn, before = None, 0, None
     entries = scratch.write(_open(lists, joined))
     scratch.drop(lists)
     while True:
@@ -437,8 +422,7 @@ def _grouped(
             break
         star = scratch.write(_able(_to_pivots(entries, turn, percent), sets, percent))
         read(star)
-        edges = edges.union(_linked(_overlaps(star, members, percent, scratch), percent))
-        known, joined = joined, connected(edges, scratch)
+        known, joined = joined, joined_by(joined, _linked(_overlaps(star, members, percent), percent), scratch)
         done = star.select("a", "b") if done is None else done.union(star.select("a", "b"))
         rest = scratch.write(_open(entries.drop("c"), joined))
         scratch.drop(known, entries)
@@ -478,19 +462,8 @@ def _grouped(
         doubtful = doubtful.join(done, ["a", "b"], "left_anti")
     able = scratch.write(_able(doubtful, sets, percent))
     read(able)
-    edges = edges.union(scratch.write(pairs.filter("certain").select("a", "b")))
-    joined = connected(edges, scratch)
-    for _ in range(_TRIALS):
-        # the likeliest link of each set first: most later pairs then lie inside a component and need no answer
-        likely = Window.partitionBy("a").orderBy(F.desc(F.col("most") / (F.col("an") + F.col("bn"))), "b")
-        trial = _across(able, joined).withColumn("r", F.row_number().over(likely)).filter("r <= 2").drop("r")
-        trial = scratch.write(trial)
-        edges = edges.union(_linked(_overlaps(trial, members, percent, scratch), percent))
-        joined = connected(edges, scratch)
-        done = trial.select("a", "b") if done is None else done.union(trial.select("a", "b"))
-    rest = scratch.write(_across(able, joined).join(done, ["a", "b"], "left_anti"))
-    edges = edges.union(_linked(_overlaps(rest, members, percent, scratch), percent))
-    joined = connected(edges, scratch)
+    found = _linked(_overlaps(able, members, percent), percent)
+    joined = joined_by(joined, pairs.filter("certain").select("a", "b").union(found), scratch)
 
     first = F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), "k1", "k2")
     groups = rows.filter("sig != 0").groupBy("sig").agg(F.min(first).alias("first"))

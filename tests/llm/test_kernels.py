@@ -8,8 +8,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from recallspark.llm import bpe, graph_search, impact_index, mixing, pii, secret_scan, style_tree, toxicity
+from recallspark.llm import bpe, graph_search, impact_index, jaccard, mixing, pii, secret_scan, style_tree, toxicity
+from recallspark.llm.arrow import Scratch
+from recallspark.llm.components import connected, joined_by
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -234,3 +237,58 @@ def test_a_word_of_a_class_does_not_lose_the_article():
 def test_deep_pages_do_not_fail():
     assert style_tree.main_text("<div>" * 5000 + "x") == "x"
     assert not math.isnan(len(style_tree.style_nodes("<div>" * 50 + "x")))
+
+
+def test_parity_bits_never_exclude_a_link(spark):
+    rng = np.random.default_rng(7)
+    universe = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(universe, rng.integers(1, 300))) for _ in range(60)]
+    # subsets and extensions of one another, so that many pairs lie on either side of the limit
+    sets += [np.unique(np.concatenate([s[: len(s) * k // 10], universe[: rng.integers(0, 20)]])) for s in sets[:20] for k in (7, 8, 9)]
+    sets = [s for s in sets if len(s)]
+    bounds = np.cumsum([0] + [len(s) for s in sets])
+    words = jaccard._parities(np.concatenate(sets), bounds)
+    rows = [(i, len(s), *(int(words[c][i]) for c in jaccard._PARITY)) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, ["id", "n", *jaccard._PARITY])
+    x, z = (table.select(*(F.col(c).alias(side + c) for c in table.columns)) for side in ("x_", "z_"))
+    near = {(r.x_id, r.z_id) for r in x.join(z, F.col("x_id") < F.col("z_id")).filter(jaccard._near_in_parity("x_", "z_", 75)).collect()}
+    members = [set(s.tolist()) for s in sets]
+    links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(members[i] & members[j]) >= 75 * len(members[i] | members[j])}
+    assert links and links <= near and len(near) < len(sets) * (len(sets) - 1) // 4
+
+
+def test_components_grow_by_added_edges(spark):
+    def components(edges: set) -> dict:
+        of = {v: v for e in edges for v in e}
+        for _ in of:
+            for a, b in edges:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    rng = np.random.default_rng(3)
+    scratch, known, all_edges = Scratch(spark), None, set()
+    for size in (30, 0, 25, 40):
+        edges = {(int(a), int(b)) for a, b in rng.integers(0, 90, (size, 2)) if a != b}
+        all_edges |= edges
+        frame = spark.createDataFrame(sorted(edges), "a bigint, b bigint")
+        known = connected(frame, scratch) if known is None else joined_by(known, frame, scratch)
+        assert {r.v: r.c for r in known.collect()} == components(all_edges)
+
+
+def test_components_match_brute_force_on_near_copies_of_many_degrees(spark):
+    rng = np.random.default_rng(11)
+    bases = [[f"b{k}w{i}" for i in range(60)] for k in range(4)]
+    rows = []
+    for i in range(160):
+        words = list(bases[i % 4])
+        for at in rng.integers(0, 60, rng.integers(0, 6)):
+            words[at] = f"x{rng.integers(0, 12)}"
+        rows.append((i, " ".join(words)))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(56)} for _, t in rows]
+    of = list(range(len(rows)))
+    links = [(i, j) for i in of for j in of[:i] if 100 * len(shingles[i] & shingles[j]) >= 75 * len(shingles[i] | shingles[j])]
+    for _ in rows:
+        for i, j in links:
+            of[i] = of[j] = min(of[i], of[j])
+    found = {r.doc_id: r.component_id for r in jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == dict(enumerate(of)) and 4 < len(set(of)) < 160
