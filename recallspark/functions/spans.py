@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator, Sequence
+from functools import cached_property
 
 _URL = re.compile(r"https?://\S+")
 _RUN = re.compile(r"\S+")
@@ -78,49 +79,68 @@ def settle(entries: Iterable[Entry]) -> list[Entry]:
     return list(dict(entries).items())
 
 
-def _occurrences(text: str, keys: dict[str, str], length: int) -> Iterator[int]:
-    """Where any of the keys, all of one length, stands."""
-    for first in {key[0] for key in keys}:
-        at = text.find(first)
-        while at >= 0:
-            if text[at : at + length] in keys:
-                yield at
-            at = text.find(first, at + 1)
+class _Keys:
+    """Placeholders of one length with their real values. What is asked of all of them is worked out once."""
 
+    def __init__(self, length: int) -> None:
+        self.length, self.values = length, dict[str, str]()
 
-def _can_overlap(keys: dict[str, str], length: int) -> bool:
-    ends = {key[length - n :] for key in keys for n in range(1, length)}
-    return any(key[:n] in ends for key in keys for n in range(1, length))
+    @cached_property
+    def firsts(self) -> set[str]:
+        return {key[0] for key in self.values}
 
+    @cached_property
+    def can_overlap(self) -> bool:
+        ends = {key[self.length - n :] for key in self.values for n in range(1, self.length)}
+        return any(key[:n] in ends for key in self.values for n in range(1, self.length))
 
-def _replace_equal_lengths(text: str, keys: dict[str, str], length: int) -> str:
-    """The keys, all of one length, replaced one after the other."""
-    found = sorted(_occurrences(text, keys, length))
-    if not found:
+    def occurrences(self, text: str) -> Iterator[int]:
+        for first in self.firsts:
+            at = text.find(first)
+            while at >= 0:
+                if text[at : at + self.length] in self.values:
+                    yield at
+                at = text.find(first, at + 1)
+
+    def replace(self, text: str) -> str:
+        """The keys replaced one after the other."""
+        found = sorted(self.occurrences(text))
+        if not found:
+            return text
+        if not self.can_overlap:
+            pieces, at = [], 0
+            for start in found:
+                pieces += [text[at:start], self.values[text[start : start + self.length]]]
+                at = start + self.length
+            done = "".join([*pieces, text[at:]])
+            # What was put in may spell another key; then the order counts.
+            if next(self.occurrences(done), None) is None:
+                return done
+        for key, value in self.values.items():
+            text = text.replace(key, value)
+        return text
+
+
+class Values:
+    """The entries of a mapping, kept for any number of texts."""
+
+    def __init__(self, entries: Iterable[Entry]) -> None:
+        by_length: dict[int, _Keys] = {}
+        for placeholder, value in entries:
+            length = len(placeholder)
+            if length:
+                by_length.setdefault(length, _Keys(length)).values.setdefault(placeholder, value)
+        self.keys = [by_length[length] for length in sorted(by_length, reverse=True)]
+
+    def restore(self, text: str) -> str:
+        for keys in self.keys:
+            text = keys.replace(text)
         return text
-    if not _can_overlap(keys, length):
-        pieces, at = [], 0
-        for start in found:
-            pieces += [text[at:start], keys[text[start : start + length]]]
-            at = start + length
-        done = "".join([*pieces, text[at:]])
-        # What was put in may spell another key; then the order counts.
-        if next(_occurrences(done, keys, length), None) is None:
-            return done
-    for key, value in keys.items():
-        text = text.replace(key, value)
-    return text
 
 
 def restore(text: str, entries: Iterable[Entry]) -> str:
     """Real values for placeholders, long placeholders first, ties in the order of the entries."""
-    by_length: dict[int, dict[str, str]] = {}
-    for placeholder, value in entries:
-        by_length.setdefault(len(placeholder), {}).setdefault(placeholder, value)
-    for length in sorted(by_length, reverse=True):
-        if length:
-            text = _replace_equal_lengths(text, by_length[length], length)
-    return text
+    return Values(entries).restore(text)
 
 
 class Numbers:

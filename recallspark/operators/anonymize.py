@@ -12,12 +12,13 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from recallspark.functions import spans
 from recallspark.functions.models import loaded, name_of
@@ -28,7 +29,9 @@ from recallspark.settings import DEFAULTS, Settings
 # Recognised labels and the prefixes of their placeholders.
 LABELS = {"PER": "Person", "ORG": "Organization", "LOC": "Location"}
 
-_KNOWN_ENTITIES = 1 << 18  # answers that a process remembers
+_KNOWN_ENTITIES = 1 << 16  # answers that a process remembers
+_KNOWN_WORDS = 1 << 15  # words of whose phrases a process makes Python objects
+_ROWS_AT_ONCE = 500  # texts or lists of which a process makes Python objects at a time
 
 _ENTRIES = f"array<{MAPPING_ENTRY.simpleString()}>"
 
@@ -390,40 +393,50 @@ def anonymize_by_query(
     """As `anonymize`, but a placeholder stands for one value in all hits of a query.
 
     Numbers are given to the distinct values of a query in the order of its hits, and
-    links are replaced whole, so that an answer about several hits can be restored. The few
-    hits of a query meet in one row. Every hit keeps its columns.
+    links are replaced whole, so that an answer about several hits can be restored. The
+    hits of a query pass one task in order, a batch at a time; what it holds is the
+    distinct values of one query, not its texts. Every hit keeps its columns.
     """
     result = hits.withColumn(out, F.col(text)).withColumn(mapping, _no_entries())
     if dictionary is not None:
         result = replace_dictionary(result, out, mapping, dictionary, settings)
     found = F.col(entities) if entities is not None else F.array().cast(RECOGNISED)
-    one = F.struct(F.col(rank).alias("rank"), F.col(out).alias("text"), F.col(mapping).alias("mapping"), found.alias("entities"), F.struct(*hits.columns).alias("hit"))
-    grouped = result.groupBy(F.col(query).alias("_query")).agg(F.array_sort(F.collect_list(one), _by_rank).alias("_hits"))
-    kind = pa.list_(_arrow_type(_REPLACED))
-
-    @arrow_udf(f"array<{_REPLACED}>")
-    def numbered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for own in batch.to_pylist():
-                numbers, done = spans.Numbers(LABELS), []
-                for hit in own:
-                    held = _entries(hit["mapping"])
-                    names = [(e["text"], e["label"]) for e in hit["entities"] or []]
-                    body, found = hit["text"], []
-                    if body is not None:
-                        body, found = numbers.replace(body, names, {v for _, v in held})
-                    done.append({"text": body, "mapping": _as_mapping(spans.settle(held + found))})
-                rows.append(done)
-            yield pa.array(rows, kind)
-
-    parts = F.transform("_hits", lambda h: F.struct(h["text"].alias("text"), h["mapping"].alias("mapping"), h["entities"].alias("entities")))
-    both = grouped.withColumn("_done", numbered(parts)).select(F.explode(F.arrays_zip("_hits", "_done")).alias("_z"))
-    return both.select("_z._hits.hit.*", F.col("_z._done.text").alias(out), F.col("_z._done.mapping").alias(mapping))
+    n, kept = len(hits.columns), result.select(*hits.columns).schema.fields
+    schema = T.StructType([*kept, T.StructField(out, T.StringType()), T.StructField(mapping, T._parse_datatype_string(_ENTRIES))])
+    fields = to_arrow_schema(schema)
+    work = [F.col(query), F.col(rank), F.col(out), F.col(mapping), found]
+    rows = result.select(*hits.columns, *[c.alias(f"_work{i}") for i, c in enumerate(work)]).toDF(*[f"_{i}" for i in range(n + 5)])
+    of_query, by_rank, body_of = f"_{n}", f"_{n + 1}", f"_{n + 2}"
+    # Equal ranks by text, so that a second reading gives the same numbers.
+    rows = rows.repartition(of_query).sortWithinPartitions(of_query, by_rank, body_of).drop(by_rank)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, numbers = None, spans.Numbers(LABELS)
+        for batch in _slices(batches):
+            bodies, mappings = [], []
+            for who, body, held, entities in zip(*(batch.column(i).to_pylist() for i in range(n, n + 4)), strict=True):
+                if not _same(who, current):
+                    current, numbers = who, spans.Numbers(LABELS)
+                entries, new = _entries(held), []
+                if body is not None:
+                    body, new = numbers.replace(body, [(e["text"], e["label"]) for e in entities or []], {v for _, v in entries})
+                bodies.append(body)
+                mappings.append(_as_mapping(spans.settle(entries + new)))
+            done = [pa.array(bodies, fields.field(n).type), pa.array(mappings, fields.field(n + 1).type)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *done], schema=fields)
+
+    return rows.mapInArrow(numbered, schema)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            yield batch.slice(at, _ROWS_AT_ONCE)
+    pa.default_memory_pool().release_unused()
 
 
-def _by_rank(a: Column, b: Column) -> Column:
-    return F.when(a["rank"] < b["rank"], -1).when(a["rank"] > b["rank"], 1).otherwise(0)
+def _same(a: object, b: object) -> bool:
+    return a == b or (a != a and b != b)
 
 
 def mapping_rows(df: DataFrame, keys: list[str], mapping: str = "mapping") -> DataFrame:
@@ -463,15 +476,37 @@ def restore_answers(
 ) -> DataFrame:
     """Add `restored`, using the mapping of the same query only.
 
-    `mapping` comes from `merge_mappings`; a query has as many entries as its few
-    hits gave.
+    `mapping` comes from `merge_mappings`. The entries of a query pass its task before
+    its answers do, so that they are held once and not beside every answer.
     """
-    entries = mapping.groupBy(query).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("place", "placeholder", "real_value"))),
-            lambda e: F.struct(e["placeholder"].alias("placeholder"), e["real_value"].alias("real_value")),
-        ).alias("_entries")
-    )
-    joined = answers.join(entries, query, "left")
-    restored = restore(F.col(text), F.coalesce("_entries", _no_entries()))
-    return joined.withColumn("restored", restored).drop("_entries")
+    columns = [query, *[c for c in answers.columns if c != query]]
+    kept = answers.select(*columns).schema
+    n, schema = len(columns), T.StructType([*kept.fields, T.StructField("restored", T.StringType())])
+    fields = to_arrow_schema(schema)
+    nothing = [F.lit(None).cast(f.dataType) for f in kept.fields[1:]]
+    place, value = mapping.schema["place"].dataType, T.StringType()
+    asked = answers.select(*columns, F.col(text), F.lit(1), *[F.lit(None).cast(t) for t in (place, value, value)])
+    known = mapping.filter(F.col(query).isNotNull()).select(query, *nothing, F.lit(None).cast(value), F.lit(0), "place", "placeholder", "real_value")
+    of_query, body_of, kind, by_place, placeholder, real = f"_{0}", *[f"_{n + i}" for i in range(5)]
+    names = [f"_{i}" for i in range(n + 5)]
+    rows = known.toDF(*names).union(asked.toDF(*names)).withColumn(of_query, F.col(of_query).cast(kept.fields[0].dataType))
+    rows = rows.repartition(of_query).sortWithinPartitions(of_query, kind, by_place, placeholder, real).drop(by_place)
+
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, entries, values = None, [], None
+        for batch in _slices(batches):
+            bodies, at = [], []
+            who_of = batch.column(0).to_pylist()
+            for i, (who, body, is_answer, key, value) in enumerate(zip(who_of, *(batch.column(j).to_pylist() for j in range(n, n + 4)), strict=True)):
+                if not _same(who, current):
+                    current, entries, values = who, [], None
+                if not is_answer:
+                    entries.append((key, value))
+                    continue
+                values = values or spans.Values(entries)
+                bodies.append(None if body is None else values.restore(body))
+                at.append(i)
+            rest = batch.take(pa.array(at, pa.int64())).columns[:n]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(bodies, fields.field(n).type)], schema=fields)
+
+    return rows.mapInArrow(restored, schema)

@@ -123,3 +123,26 @@ def test_many_phrases_do_not_grow_the_plan(spark):
     lengths = [len(p._jdf.queryExecution().optimizedPlan().toString()) for p in plans]
     assert abs(lengths[0] - lengths[1]) < 100
     assert [e.text for e in plans[1].first().e] == ["name7 surname", "name99999 surname"]
+
+
+def test_many_hits_of_a_query_do_not_meet_in_one_row(spark):
+    """Neither the texts of a query nor, beside every answer, its whole mapping are collected."""
+    df = spark.range(3000).selectExpr("id % 2 AS query_id", "id AS rank", "concat('see http://h/', id, ' and http://h/', id % 5, ' or u', id, '@h.org') AS content")
+    done = anon.anonymize_by_query(df, "content")
+    mapping = anon.merge_mappings(anon.mapping_rows(done, ["query_id", "rank"]), "query_id", ["rank", "seq"])
+    restored = anon.restore_answers(done.select("query_id", "rank", "content", F.col("anon").alias("answer")), mapping)
+    for df in (done, restored):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "Join" not in plan
+    assert restored.columns == ["query_id", "rank", "content", "answer", "restored"]
+    assert restored.count() == 3000 and restored.filter("restored <> content").count() == 0
+    for query in (0, 1):
+        links = {}
+        for r in sorted(done.filter(F.col("query_id") == query).collect(), key=lambda r: r["rank"]):
+            for m in r.mapping:
+                links.setdefault(m.placeholder, m.real_value)
+                assert links[m.placeholder] == m.real_value
+        urls = [p for p in links if p.startswith("[URL_")]
+        assert urls == [f"[URL_{i}]" for i in range(1, len(urls) + 1)]  # in the order of the hits
+    unknown = spark.createDataFrame([(None, "[URL_1]"), (7, "[URL_1]"), (0, None)], "query_id long, answer string")
+    assert [r.restored for r in anon.restore_answers(unknown, mapping).orderBy("query_id").collect()] == ["[URL_1]", None, "[URL_1]"]
