@@ -165,7 +165,7 @@ def ingest_wave(
     embedder: Embedder | None = None,
     settings: Settings = DEFAULTS,
 ) -> IngestResult:
-    """Store the chunks of some files, at most `files_per_wave`."""
+    """Store the chunks of the files of one wave."""
     spark = store.spark
     result = IngestResult()
     with Stage(spark) as stage:
@@ -226,8 +226,11 @@ def ingest_wave(
     return result
 
 
-def waves(files: DataFrame, size: int) -> Iterator[list[str]]:
-    """Files in order of modification, a bounded number at a time."""
+def waves(files: DataFrame, size: int, most: int | None = None) -> Iterator[list[str]]:
+    """Files in order of modification, `size` of them first, then twice as many each time up to `most`.
+
+    A wave costs some jobs however few its files are, so that the waves must not grow with the files.
+    """
     order = F.struct("modified_at", "file_path")
     after = None
     while True:
@@ -237,6 +240,7 @@ def waves(files: DataFrame, size: int) -> Iterator[list[str]]:
             return
         yield [row["file_path"] for row in part]
         after = (part[-1]["modified_at"], part[-1]["file_path"])
+        size = max(size, min(2 * size, most or size))
 
 
 def ingest_all(
@@ -254,7 +258,7 @@ def ingest_all(
         listing, n_files = stage.write_counted(list_transcripts(spark, directory, glob), "listing")
         todo, n_new = stage.write_counted(new_files(listing, store.read("ingestion_log")), "todo")
         total.skipped = n_files - n_new
-        for paths in waves(todo, settings.files_per_wave):
+        for paths in waves(todo, settings.files_per_wave, settings.largest_wave):
             lines = read_lines(spark, [literal_path(p) for p in paths], glob)
             done = ingest_wave(lines, store, embedder, settings)
             done.files_processed = len(paths)

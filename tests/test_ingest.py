@@ -294,3 +294,14 @@ def test_buckets_stay_as_created(spark, tmp_path):
     root = str(tmp_path / "store")
     Store(spark, root, Settings(store_buckets=3)).create()
     assert Store(spark, root, Settings(store_buckets=50)).create().buckets == 3
+
+
+def test_waves_grow(spark):
+    """The number of waves grows with the logarithm of the files, and each file is in one of them."""
+    from recallspark.plans.ingest import waves
+
+    files = spark.range(100).selectExpr("lpad(id, 3, '0') AS file_path", "timestamp_seconds(id div 3) AS modified_at")
+    got = list(waves(files, 2, 32))
+    assert [len(w) for w in got] == [2, 4, 8, 16, 32, 32, 6]
+    assert [p for w in got for p in w] == [f"{i:03d}" for i in range(100)]
+    assert [len(w) for w in waves(files, 60)] == [60, 40]
