@@ -78,7 +78,8 @@ class PhraseRecogniser:
     A word is a run of letters, digits and underscores. Phrases are kept by their first
     word, so a text costs its words and the phrases that begin with one of them, however
     many there are. `phrases_per_pass` of them at most go to the workers at once; a
-    larger table takes several passes with the same result.
+    larger table takes several passes with the same result. A worker holds a table as
+    columns and makes Python objects only of the phrases that some texts at a time may hold.
     """
 
     def __init__(self, phrases: DataFrame, settings: Settings = DEFAULTS) -> None:
@@ -99,32 +100,57 @@ class PhraseRecogniser:
         return df.withColumn(out, entities.cast(RECOGNISED)).drop(*[f"_part{i}" for i in range(len(parts))])
 
     def _finder(self, table: pa.Table) -> Callable[[Column], Column]:
-        shared = self._spark.sparkContext.broadcast((table.column("text").to_pylist(), table.column("label").to_pylist()))
+        shared = self._spark.sparkContext.broadcast(tuple(table.column(c).cast(pa.large_string()).combine_chunks() for c in ("text", "label")))
         name = f"phrases-{uuid.uuid4().hex}"
 
-        def load() -> dict[str, list[tuple[int, str, str]]]:
-            by_word: dict[str, list[tuple[int, str, str]]] = {}
-            for phrase, label in zip(*shared.value):
-                first = _WORD.search(phrase)
-                by_word.setdefault(first[0], []).append((first.start(), phrase, label))
-            return by_word
+        def load() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+            """Hashes of first words, in order; the phrases they are of; what stands before the first word of each phrase; words asked for."""
+            texts = _column(shared.value[0])
+            hashes, leads = np.empty(len(texts), np.int64), np.empty(len(texts), np.int32)
+            for low in range(0, len(texts), _ROWS_AT_ONCE):
+                for i, phrase in enumerate(texts.slice(low, _ROWS_AT_ONCE).to_pylist(), low):
+                    first = _WORD.search(phrase)
+                    hashes[i], leads[i] = hash(first[0]), first.start()
+            order = np.argsort(hashes, kind="stable")
+            return hashes[order], order, leads, {}
 
         kind = _arrow_type("array<struct<at: int, text: string, label: string>>")
 
+        def search(bodies: list[str | None], held: tuple[np.ndarray, np.ndarray, np.ndarray, dict]) -> pa.Array:
+            hashes, order, leads, near = held
+            texts, labels = map(_column, shared.value)
+
+            def phrases_of(word: str) -> list[tuple[int, int, str]]:
+                # Words of one hash share their phrases: what does not stand in the text is no hit.
+                low, high = hashes.searchsorted(hash(word)), hashes.searchsorted(hash(word), "right")
+                own = order[low:high]
+                if len(near) >= _KNOWN_WORDS:
+                    near.clear()
+                near[word] = list(zip(own.tolist(), leads[own].tolist(), texts.take(pa.array(own)).to_pylist())) if len(own) else []
+                return near[word]
+
+            at, phrases, offsets = [], [], [0]
+            for body in bodies:
+                first: dict[int, int] = {}
+                for word in _WORD.finditer(body or ""):
+                    known = near.get(word[0])
+                    for i, lead, phrase in phrases_of(word[0]) if known is None else known:
+                        start = word.start() - lead
+                        if i not in first and start >= 0 and body.startswith(phrase, start) and _whole(body, start, start + len(phrase)):
+                            first[i] = start
+                at += first.values()
+                phrases += first
+                offsets.append(len(at))
+            taken = [c.take(pa.array(phrases, pa.int64())).cast(pa.string()) for c in (texts, labels)]
+            hits = pa.StructArray.from_arrays([pa.array(at, pa.int32()), *taken], fields=list(kind.value_type))
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), hits).cast(kind)
+
         @arrow_udf("array<struct<at: int, text: string, label: string>>")
         def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            by_word = loaded(name, load)
+            held = loaded(name, load)
             for batch in batches:
-                rows = []
-                for body in batch.to_pylist():
-                    first: dict[tuple[str, str], int] = {}
-                    for word in _WORD.finditer(body or ""):
-                        for lead, phrase, label in by_word.get(word[0], ()):
-                            start = word.start() - lead
-                            if (phrase, label) not in first and start >= 0 and body.startswith(phrase, start) and _whole(body, start, start + len(phrase)):
-                                first[phrase, label] = start
-                    rows.append([{"at": at, "text": p, "label": label} for (p, label), at in first.items()])
-                yield pa.array(rows, kind)
+                parts = [search(batch.slice(low, _ROWS_AT_ONCE).to_pylist(), held) for low in range(0, len(batch), _ROWS_AT_ONCE)]
+                yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
         return found
 
@@ -132,6 +158,11 @@ class PhraseRecogniser:
 _WORD = re.compile(r"\w+")
 
 
+def _column(values: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """One array, whatever combining chunks gives."""
+    return values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], values.type)
+
+
 def _whole(text: str, start: int, end: int) -> bool:
     """No word goes on beyond either end."""
     before = start > 0 and _WORD.match(text[start - 1]) and _WORD.match(text[start])

@@ -146,3 +146,21 @@ def test_many_hits_of_a_query_do_not_meet_in_one_row(spark):
         assert urls == [f"[URL_{i}]" for i in range(1, len(urls) + 1)]  # in the order of the hits
     unknown = spark.createDataFrame([(None, "[URL_1]"), (7, "[URL_1]"), (0, None)], "query_id long, answer string")
     assert [r.restored for r in anon.restore_answers(unknown, mapping).orderBy("query_id").collect()] == ["[URL_1]", None, "[URL_1]"]
+
+
+def test_workers_hold_few_python_objects(spark, monkeypatch):
+    """Rows are taken a few at a time, and entities pass one worker only."""
+    monkeypatch.setattr(anon, "_ROWS_AT_ONCE", 3)
+    monkeypatch.setattr(anon, "_KNOWN_WORDS", 2)
+    df = spark.range(50).selectExpr("id", "concat('Ann ', id, ' met name', id % 7, ', Bo') AS t").coalesce(1)
+    table = spark.createDataFrame([("Ann", "PER"), ("Ann 4", "ORG"), ("name3", "LOC")], "text string, label string")
+    allowed = spark.createDataFrame([("Annex",)], "word string")
+    found = anon.PhraseRecogniser(table)(df, "t", "e")
+    got = {r.id: [e.text for e in r.e] for r in found.collect()}
+    assert got == {i: ["Ann"] + ["Ann 4"] * (i == 4) + ["name3"] * (i % 7 == 3) for i in range(50)}
+    kept = anon.keep_entities(found, "e", allowed)
+    assert {r.id: [e.text for e in r.e] for r in kept.collect()} == {i: [t for t in own if t != "Ann"] for i, own in got.items()}
+    names = anon.Gazetteer(table)(df, "t", "e")
+    assert anon.keep_entities(names, "e", allowed)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    nulls = spark.createDataFrame([(1, None), (2, [])], f"id int, e {RECOGNISED.simpleString()}")
+    assert [r.e for r in anon.keep_entities(nulls, "e", allowed).orderBy("id").collect()] == [None, []]
