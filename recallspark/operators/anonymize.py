@@ -208,49 +208,59 @@ def keep_entities(
     text, `phrases_per_pass` of them at most at once, and every distinct entity is
     looked for once in a process, so that no row carries them.
     """
-    # Not to be moved into the steps that use the entities several times.
-    out = df.withColumn(entities, _kept.asNondeterministic()(F.col(entities)))
+    words, passes = None, 1
     if allowlist is not None:
         words = allowlist.select(F.col(allowlist.columns[0]).alias("word")).filter("word IS NOT NULL").distinct()
         passes = max(1, -(-words.count() // settings.phrases_per_pass))
         number = F.pmod(F.xxhash64("word"), F.lit(passes))
-        for i in range(passes):
-            allowed = words.filter(number == i).toArrow().column("word").to_pylist()
-            out = out.withColumn(entities, _outside(allowed, df.sparkSession)(F.col(entities)))
+    out = df
+    for i in range(passes):
+        allowed = [] if words is None else words.filter(number == i).toArrow().column("word").to_pylist()
+        # Not to be moved into the steps that use the entities several times.
+        out = out.withColumn(entities, _outside(allowed, df.sparkSession, words is not None)(F.col(entities)))
     return out
 
 
-@arrow_udf(RECOGNISED)
-def _kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Trimmed entities of the labels looked for, of two characters or more, each text once."""
-    for batch in batches:
-        rows = []
-        for found in batch.to_pylist():
-            first: dict[str, dict] = {}
-            for e in found or ():
-                text = e["text"].strip() if e["text"] is not None else ""
-                if e["label"] in LABELS and len(text) >= 2:
-                    first.setdefault(text, e | {"text": text})
-            rows.append(None if found is None else list(first.values()))
-        yield pa.array(rows, to_arrow_type(RECOGNISED))
-
-
-def _outside(words: list[str], spark: SparkSession) -> Callable[[Column], Column]:
-    """A filter of entities that are no part of any of the words."""
+def _outside(words: list[str], spark: SparkSession, listed: bool) -> Callable[[Column], Column]:
+    """Trimmed entities of the labels looked for, of two characters or more, each text once, that are no part of any of the words."""
     shared = spark.sparkContext.broadcast("\0".join(words))
     name = f"allowed-{uuid.uuid4().hex}"
+    kind = to_arrow_type(RECOGNISED)
+
+    def wanted(lists: pa.Array, inside: dict[str, bool]) -> pa.Array:
+        entities, lengths = lists.flatten(), lists.value_lengths().to_pylist()
+        texts, labels, scores = (entities.field(i) for i in range(3))
+        named = zip(texts.to_pylist(), labels.to_pylist(), strict=True)
+        at, kept, offsets = 0, [], [0]
+        found: list[int] = []
+        for n in lengths:
+            own: set[str] = set()
+            for i in range(at, at + (n or 0)):
+                text, label = next(named)
+                text = text.strip() if text is not None else ""
+                if label not in LABELS or len(text) < 2 or text in own:
+                    continue
+                own.add(text)
+                if listed and text not in inside:
+                    if len(inside) >= _KNOWN_ENTITIES:
+                        inside.clear()
+                    inside[text] = "\0" not in text and text in shared.value
+                if not (listed and inside[text]):
+                    found.append(i)
+                    kept.append(text)
+            at += n or 0
+            offsets.append(len(kept))
+        rows = pa.array(found, pa.int64())
+        columns = [pa.array(kept, pa.string()), labels.take(rows), scores.take(rows)]
+        values = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, kind.value_type)], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, type=kind, mask=lists.is_null())
 
     @arrow_udf(RECOGNISED)
     def outside(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         inside: dict[str, bool] = loaded(name, dict)
         for batch in batches:
-            rows = batch.to_pylist()
-            for text in {e["text"] for found in rows for e in found or ()} - inside.keys():
-                if len(inside) >= _KNOWN_ENTITIES:
-                    inside.clear()
-                inside[text] = "\0" not in text and text in shared.value
-            kept = [None if found is None else [e for e in found if not inside.get(e["text"], e["text"] in shared.value)] for found in rows]
-            yield pa.array(kept, to_arrow_type(RECOGNISED))
+            parts = [wanted(batch.slice(low, _ROWS_AT_ONCE), inside) for low in range(0, len(batch), _ROWS_AT_ONCE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return outside.asNondeterministic()
 
