@@ -92,3 +92,17 @@ def test_windows_cover_all_neighbours():
     assert seen[0] == sorted(["[one]", "[two]", "[three]", "[four]", "[a_b_c]", "[five]"])
     assert sorted(u.replace("_", "") for part in seen[1:3] for u in part) == sorted(["[onetwo]", "[twothree]", "[abcfive]"])
     assert [u.replace("_", "") for part in seen[3:] for u in part] == ["[onetwothree]"]
+
+
+def test_margins_are_those_of_the_subsequences():
+    from recallspark.llm.toxicity import _CLASSES, Units
+
+    rng = np.random.default_rng(5)
+    table = rng.normal(size=_CLASSES**3).astype(np.float32)
+    texts = ["", "a", "you f o o l, you", "漢字 😀 x", "  two\n\nlines of several words  "] + ["".join(rng.choice(list("ab .é"), 40)) for _ in range(30)]
+    for units in Units.of_texts(texts).windows():
+        total, norm = np.zeros(len(units.starts)), np.zeros(len(units.starts))
+        for unit, code, weight in units.triples():
+            total += np.bincount(unit, table[code], len(total)) * weight
+            norm += np.bincount(unit, minlength=len(norm)) * weight**2
+        assert np.array_equal(units.margins(table, 0.5), total / np.sqrt(np.maximum(norm, 1e-9)) + 0.5)
